@@ -25,6 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import map_arrow
 from .common import slices
 
 #: Words whose encodings a worker keeps between batches; beyond it the store begins anew.
@@ -205,7 +206,7 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32())), pa.array([enc.decode(x) for x in ids], pa.string())], names=[*part.schema.names, "_ids", "_decoded"])
 
-    return docs.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in docs.dtypes) + ", _ids array<int>, _decoded string")
+    return map_arrow(docs, run, ", ".join(f"`{n}` {k}" for n, k in docs.dtypes) + ", _ids array<int>, _decoded string")
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,4 +229,4 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                     text_sha.append(sha(b"".join([c[1] for c in chunks]).decode("utf-8", "replace").encode()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(rows, run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

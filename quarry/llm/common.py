@@ -79,8 +79,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of some texts: 64-bit hashes, byte spans in data, and where each text's words begin (first, one more at the end)."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], ascii_lower: bool = False):
         raw = "\n".join(texts).encode("utf-8", "surrogatepass") + b"\n"
+        raw = raw.lower() if ascii_lower else raw
         self.data = np.frombuffer(raw, np.uint8)
         self.raw = raw
         if texts and "".join(texts).isascii():
