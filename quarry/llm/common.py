@@ -123,6 +123,13 @@ class Words:
         return out[keep], self.text_of[keep]
 
 
+def run_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each run h[start:end], the same wherever the run stands."""
+    up, down = _powers(len(h) + 1)
+    sums = np.r_[U(0), np.cumsum(h * up[: len(h)])]
+    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U) * _MUL)
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 

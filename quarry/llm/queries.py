@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, langid, lm, mixing, quality, secrets
+from . import bpe, fingerprints, html_text, langid, lm, mixing, neardup, quality, secrets, substring
 from .common import table
 
 
@@ -14,10 +14,18 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -38,10 +46,14 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
-_ALL = (op2_language_id, op4_secret_scans, op5_document_fingerprints, op6_quality_rules, op7_bpe_encoding, op8_source_mixing, op10_lm_scoring)
+_ALL = (op1_minhash_near_dedup, op2_language_id, op3_html_extraction, op4_secret_scans, op5_document_fingerprints, op6_quality_rules, op7_bpe_encoding, op8_source_mixing, op9_substring_dedup, op10_lm_scoring)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {}
