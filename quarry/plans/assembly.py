@@ -109,7 +109,11 @@ def budget_blocks(spark, sf_dir):
     return A.budget(blocks, 6000, 9000, 40, reserved=500).select("place", "id", "path", "source", F.round("score", 6).alias("score"), "end_line", "end_byte", "warning")
 
 
-@query()
+_FULL = "f.k >= 15 OR f.total + e.tokens > 300"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id % 64 AS lane, event_id AS id, CAST(floor(abs(value)) AS BIGINT) AS tokens, row_number() OVER (PARTITION BY user_id % 64 ORDER BY ts, event_id) AS n FROM events),
+f AS (SELECT lane, id, n, 1 AS k, tokens AS total, 0 AS batch FROM e WHERE n = 1 UNION ALL SELECT e.lane, e.id, e.n, CASE WHEN {_FULL} THEN 1 ELSE f.k + 1 END, CASE WHEN {_FULL} THEN e.tokens ELSE f.total + e.tokens END, CASE WHEN {_FULL} THEN f.batch + 1 ELSE f.batch END FROM f JOIN e ON e.lane = f.lane AND e.n = f.n + 1) SELECT lane, id, batch FROM f""")
 def token_batches(spark, sf_dir):
     e = Roles(spark, sf_dir).read("events").select((F.col("user_id") % 64).alias("lane"), F.unix_micros(F.col("ts").cast("timestamp")).alias("place"), F.col("event_id").alias("id"), F.floor(F.abs("value")).cast("long").alias("tokens"))
     return A.token_batches(e, 15, 300)
