@@ -26,10 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
-from .common import slices
+from .common import pieces
 
 #: Words whose encodings a worker keeps between batches; beyond it the store begins anew.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 500_000
+#: Characters whose words go through the trie together.
+TRIE_CHARS = 4_000_000
 #: How byte-level vocabularies write bytes, and the pattern that cuts a text into words.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -199,11 +201,10 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     def run(batches):
         enc = encoder(path)
         for batch in batches:
-            whole = batch.column(batch.schema.get_field_index(name)).to_pylist()
-            for a, b in slices([t or "" for t in whole], 4_000_000):
-                texts = [t or "" for t in whole[a:b]]
+            at = batch.schema.get_field_index(name)
+            for part in pieces(batch, (at,), TRIE_CHARS):
+                texts = [t or "" for t in part.column(at).to_pylist()]
                 ids = [[int(i) for c in chunks for i in c[0].split(",")] for chunks in enc.coded(texts)]
-                part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32())), pa.array([enc.decode(x) for x in ids], pa.string())], names=[*part.schema.names, "_ids", "_decoded"])
 
     return map_arrow(docs, run, ", ".join(f"`{n}` {k}" for n, k in docs.dtypes) + ", _ids array<int>, _decoded string")
@@ -218,15 +219,14 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         enc = encoder(path)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
-            whole = batch.column(1).to_pylist()
-            for a, b in slices([t or "" for t in whole], 4_000_000):
-                texts = [t or "" for t in whole[a:b]]
+            for part in pieces(batch, (1,), TRIE_CHARS):
+                texts = [t or "" for t in part.column(1).to_pylist()]
                 n, ids_sha, text_sha = [], [], []
                 for chunks in enc.coded(texts):
                     ids = ",".join([c[0] for c in chunks])
                     n.append(ids.count(",") + 1 if ids else 0)
                     ids_sha.append(sha(ids.encode()))
                     text_sha.append(sha(b"".join([c[1] for c in chunks]).decode("utf-8", "replace").encode()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return map_arrow(rows, run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

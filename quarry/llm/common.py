@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Largest table, in rows, that an operator sends to every executor; above it the operator shuffles instead.
 BROADCAST_ROWS = 1_500_000
 #: Characters of text that a Python worker turns into arrays at a time.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_500_000
 
 U = np.uint64
 _MUL = U(0x9E3779B97F4A7C15)
@@ -60,6 +61,19 @@ def slices(texts: list[str], chars: int = BATCH_CHARS):
         yield at, len(texts)
 
 
+def pieces(batch, columns: tuple[int, ...], most: int = BATCH_CHARS):
+    """Consecutive parts of an Arrow batch, of about so many bytes of text in its columns; a longer row stands alone, whole."""
+    size = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+    at = total = 0
+    for i, n in enumerate(size.tolist()):
+        if i > at and total + n > most:
+            yield batch.slice(at, i - at)
+            at, total = i, 0
+        total += n
+    if at < batch.num_rows:
+        yield batch.slice(at)
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTE = mix(np.arange(1, 257, dtype=U) * _MUL)
@@ -159,4 +173,4 @@ def components(links: DataFrame) -> DataFrame:
         links = large.join(up, "b").select(F.col("m").alias("x"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("y")).where("x < y").distinct().select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
-__all__ = ["BROADCAST_ROWS", "WORD", "Words", "bounded", "components", "held_out", "mix", "per_text", "pinned", "signed", "slices", "table"]
+__all__ = ["BROADCAST_ROWS", "WORD", "Words", "bounded", "components", "held_out", "mix", "per_text", "pieces", "pinned", "signed", "slices", "table"]

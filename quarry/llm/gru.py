@@ -61,12 +61,12 @@ class Lanes:
 
     def windows(self, tokens: np.ndarray, first: np.ndarray, end: int):
         """(words, before, fresh, doc) of each window, (steps, lanes): the word to predict, the word before, whether a document begins, its number (-1: the lane has ended)."""
-        ahead = [np.concatenate([np.arange(first[d], first[d + 1]) for d in docs]) if docs else np.zeros(0, np.int64) for docs in self.docs]
-        which = [np.repeat(np.array(docs, np.int64), [first[d + 1] - first[d] for d in docs]) for docs in self.docs]
+        ahead = [np.concatenate([np.arange(first[d], first[d + 1], dtype=np.int32) for d in docs]) if docs else np.zeros(0, np.int32) for docs in self.docs]
+        which = [np.repeat(np.array(docs, np.int32), [first[d + 1] - first[d] for d in docs]) for docs in self.docs]
         for at in range(0, int(self.total.max(initial=0)), WINDOW):
             live = int(np.searchsorted(-self.total, -at, side="left"))
             steps = int(min(WINDOW, self.total[0] - at))
-            place, doc = np.zeros((steps, live), np.int64), np.full((steps, live), -1, np.int64)
+            place, doc = np.zeros((steps, live), np.int32), np.full((steps, live), -1, np.int32)
             for i in range(live):
                 part = ahead[i][at : at + steps]
                 place[: len(part), i], doc[: len(part), i] = part, which[i][at : at + steps]
@@ -212,7 +212,7 @@ def train(p: dict[str, np.ndarray], tokens: np.ndarray, first: np.ndarray, end:
     return m, v, step
 
 
-def score(p: dict[str, np.ndarray], tokens: np.ndarray, first: np.ndarray, end: int, lanes: int = 512) -> np.ndarray:
+def score(p: dict[str, np.ndarray], tokens: np.ndarray, first: np.ndarray, end: int, lanes: int = 256) -> np.ndarray:
     """ln P of each whole document."""
     out = np.zeros(len(first) - 1)
     dealt = Lanes(np.diff(first), lanes)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
-from .common import Words, held_out, slices
+from .common import Words, held_out, pieces
 from .ngrams import collected, counted, distinct, grams, lookup, word_texts
 
 ORDER, SMOOTHING = 3, 0.05
@@ -107,10 +107,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches):
         m: Model = shared.value
         for batch in batches:
-            texts = [(t or "").lower() for t in batch.column(2).to_pylist()]
-            for a, b in slices(texts):
-                pred, score, sets = ["und"] * (b - a), np.zeros(b - a), [""] * (b - a)
-                w = Words(texts[a:b])
+            for part in pieces(batch, (2,)):
+                rows = part.num_rows
+                pred, score, sets = ["und"] * rows, np.zeros(rows), [""] * rows
+                w = Words([(t or "").lower() for t in part.column(2).to_pylist()])
                 if len(w.hash) and m.langs:
                     first, at = distinct(w.hash)
                     words = word_texts(w, first)
@@ -125,7 +125,6 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                             j = int(p.argmax())
                             pred[d], score[d] = m.langs[j], min(1.0, float(p[j]))
                             sets[d] = ",".join(m.langs[i] for i in np.argsort(-p, kind="stable") if p[i] > 0)
-                part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(pred, pa.string()), pa.array(score), pa.array(sets, pa.string())], names=[id_col, "held_out", "lang_pred", "score", "languages"])
 
     return map_arrow(rows, run, f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double, languages string")

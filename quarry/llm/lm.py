@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
 from . import gru
-from .common import BROADCAST_ROWS, Words, held_out, pinned, signed, slices
+from .common import BROADCAST_ROWS, Words, held_out, pieces, pinned, signed, slices
 from .ngrams import lookup, summed
 
 END = np.uint64(0xE5D0E5D0E5D0E5D1)
-HELD_WORDS, ROUNDS, FAN_IN = BROADCAST_ROWS, 3, 16
+HELD_WORDS, ROUNDS, FAN_IN = BROADCAST_ROWS // 3, 3, 16
+#: Characters that a task turns into arrays at a time, and that the model reads side by side.
+READ_CHARS, LANE_CHARS = 1_000_000, 12_000_000
 
 
 def word_counts(train: DataFrame) -> DataFrame:
@@ -32,10 +34,9 @@ def word_counts(train: DataFrame) -> DataFrame:
     def run(batches):
         parts, docs = [], 0
         for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            docs += len(texts)
-            for a, b in slices(texts):
-                h = Words(texts[a:b], ascii_lower=True).hash
+            docs += batch.num_rows
+            for part in pieces(batch, (0,)):
+                h = Words([t or "" for t in part.column(0).to_pylist()], ascii_lower=True).hash
                 parts.append(summed(h, np.ones(len(h))))
                 if len(parts) > 12:
                     parts = [summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))]
@@ -79,21 +80,20 @@ class Counts:
         self.common = common
 
     def read(self, texts: list[str]):
-        """Per word: its number, its count where held (else 0), whether it is held; and where documents begin, with an end after each."""
-        number, n, held, hashes, size = [], [], [], [], []
-        for a, b in slices(texts):
+        """For each slice of the texts: its words' numbers, and of its documents the words and of what is not held."""
+        for a, b in slices(texts, READ_CHARS):
             w = Words(texts[a:b], ascii_lower=True)
             u, at = np.unique(w.hash, return_inverse=True)
             place, hit = lookup(self.words, u)
-            own = np.where(hit, self.number[place], np.int16(1)) if len(self.words) else np.ones(len(u), np.int16)
-            c = np.where(hit, self.n[place], 0) if len(self.words) else np.zeros(len(u), np.int64)
-            number.append(own[at].astype(np.int16))
-            n.append(c[at])
-            held.append(hit[at])
-            hashes.append(w.hash)
-            size.append(w.count)
-        cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        return cat(number, np.int16), cat(n, np.int64), cat(held, bool), cat(hashes, np.uint64), cat(size, np.int64)
+            yield w, u, at, hit, np.where(hit, self.number[place], np.int16(1)).astype(np.int16) if len(self.words) else np.ones(len(u), np.int16), np.where(hit, self.n[place], 0) if len(self.words) else np.zeros(len(u), np.int64)
+
+    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words' numbers with an end after each document, and where documents begin."""
+        parts, sizes = [np.zeros(0, np.int16)], [np.zeros(0, np.int64)]
+        for w, _, at, _, number, _ in self.read(texts):
+            parts.append(number[at])
+            sizes.append(w.count)
+        return with_ends(np.concatenate(parts), np.concatenate(sizes))
 
 
 def with_ends(number: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,10 +116,8 @@ def fit(train: DataFrame, counts: Counts, rounds: int = ROUNDS) -> dict[str, np.
         def run(batches, opened=opened):
             c, p, adam, seen = shared.value, {x: y.copy() for x, y in opened.value.items()}, None, 0
             for batch in batches:
-                texts = [t or "" for t in batch.column(0).to_pylist()]
-                number, _, _, _, size = c.read(texts)
-                tokens, first = with_ends(number, size)
-                if len(tokens):
+                for part in pieces(batch, (0,), LANE_CHARS):
+                    tokens, first = c.numbers([t or "" for t in part.column(0).to_pylist()])
                     # few documents: fewer lanes, so that there are steps to learn from
                     adam = gru.train(p, tokens, first, 0, lanes=int(np.clip(len(tokens) // (gru.WINDOW * 100), 16, 256)), adam=adam)
                     seen += len(tokens)
@@ -164,21 +162,32 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod:
         base_norm = np.log10(c.tokens + 1.0 * (c.distinct + 1))
         rare_norm = np.log10(c.rare_tokens + 1.0 * (c.rare_distinct + 1))
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            number, n, hit, hashes, size = c.read(texts)
-            tokens, first = with_ends(number, size)
-            doc = np.repeat(np.arange(len(texts)), size)
-            sums = lambda x: np.bincount(doc, weights=x, minlength=len(texts))  # noqa: E731,B023
-            lg = np.log10(n + 1.0)
-            rare = number == 1
-            base = sums(lg) + np.log10(end_count + 1.0) - (size + 1) * base_norm
-            own = gru.score(p, tokens, first, 0) / np.log(10.0) + sums(np.where(rare, lg - rare_norm, 0.0))
-            tail = np.flatnonzero(~hit) if c.cut > 1 else np.zeros(0, np.int64)
-            ends = np.searchsorted(doc[tail], np.arange(len(texts) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(size + 1), pa.array(sums(hit & (n > 0)).astype(np.int64) + (end_count > 0)), pa.array(base), pa.array(own), pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(hashes[tail])))],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "tail"],
-            )
+            for part in pieces(batch, (1,), LANE_CHARS):
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                numbers, sizes, known, base, rare, tails, ends = [], [], [], [], [], [], [np.zeros(1, np.int64)]
+                for w, u, at, hit, number, n in c.read(texts):
+                    docs = len(w.count)
+                    lg = np.log10(n + 1.0)
+                    sums = lambda x: np.bincount(w.text_of, weights=x[at], minlength=docs)  # noqa: E731,B023
+                    numbers.append(number[at])
+                    sizes.append(w.count)
+                    known.append(sums(hit & (n > 0)))
+                    base.append(sums(lg))
+                    rare.append(sums(np.where(number == 1, lg - rare_norm, 0.0)))
+                    tail = np.flatnonzero(~hit[at]) if c.cut > 1 else np.zeros(0, np.int64)
+                    tails.append(w.hash[tail])
+                    ends.append(ends[-1][-1] + np.searchsorted(w.text_of[tail], np.arange(1, docs + 1)))
+                cat = np.concatenate
+                size = cat(sizes)
+                tokens, first = with_ends(cat(numbers), size)
+                own = gru.score(p, tokens, first, 0) / np.log(10.0) + cat(rare)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0), part.column(2), pa.array(size + 1), pa.array(cat(known).astype(np.int64) + (end_count > 0)), pa.array(cat(base) + np.log10(end_count + 1.0) - (size + 1) * base_norm), pa.array(own),
+                        pa.ListArray.from_arrays(pa.array(cat(ends).astype(np.int32)), pa.array(signed(cat(tails)))),
+                    ],
+                    names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "tail"],
+                )
 
     scored = map_arrow(rows.select("doc_id", "text", "held_out"), run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, tail array<long>")
     if counts.cut > 1:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
-from .common import Words, bounded, components, mix, pinned, signed, slices
+from .common import Words, bounded, components, mix, pieces, pinned, signed
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: 16 bands of 4 registers: at similarity 0.8 a pair meets in a bucket with probability 0.9998.
@@ -108,11 +108,10 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = [(t or "").lower() for t in batch.column(1).to_pylist()]
-            for a, b in slices(texts):
-                w = Words(texts[a:b])
+            for part in pieces(batch, (1,)):
+                w = Words([(t or "").lower() for t in part.column(1).to_pylist()])
                 s, t, n = weighted(*w.shingles(SHINGLE))
-                has = np.flatnonzero(np.bincount(t, minlength=b - a)) if len(s) else np.zeros(0, np.int64)
+                has = np.flatnonzero(np.bincount(t, minlength=part.num_rows)) if len(s) else np.zeros(0, np.int64)
                 if not len(has):
                     continue
                 starts = np.searchsorted(t, has)
@@ -121,7 +120,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 bands = band_hashes(probminhash(s, np.searchsorted(has, t), n.astype(np.float64), len(has), BANDS * ROWS), BANDS, ROWS)
                 flat = pa.array(signed(bands.ravel()))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1, dtype=np.int32) * BANDS), flat)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(has)), *[pa.array(signed(k)) for k in keys], lists], names=["id", "k1", "k2", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(has)), *[pa.array(signed(k)) for k in keys], lists], names=["id", "k1", "k2", "bands"])
 
     return map_arrow(docs, run, f"id {dict(docs.dtypes)['id']}, k1 long, k2 long, bands array<long>")
 
@@ -135,15 +134,14 @@ def verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> DataF
 
     def run(batches):
         for batch in batches:
-            left, right = ([(t or "").lower() for t in batch.column(i).to_pylist()] for i in (2, 3))
-            sizes = [a + b for a, b in zip(left, right, strict=True)]
-            for a, b in slices(sizes):
-                distinct = sorted(set(left[a:b]) | set(right[a:b]))
+            for part in pieces(batch, (2, 3)):
+                left, right = ([(t or "").lower() for t in part.column(i).to_pylist()] for i in (2, 3))
+                distinct = sorted(set(left) | set(right))
                 s, t, n = weighted(*Words(distinct).shingles(SHINGLE))
                 ends = np.searchsorted(t, np.arange(len(distinct) + 1))
                 sets = {x: (s[ends[i] : ends[i + 1]], n[ends[i] : ends[i + 1]].astype(np.float64)) for i, x in enumerate(distinct)}
-                good = [i for i in range(a, b) if similarity(sets[left[i]], sets[right[i]]) >= THRESHOLD]
-                yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(good, pa.int64())) for k in (0, 1)], names=["a", "b"])
+                good = [i for i in range(part.num_rows) if similarity(sets[left[i]], sets[right[i]]) >= THRESHOLD]
+                yield pa.RecordBatch.from_arrays([part.column(k).take(pa.array(good, pa.int64())) for k in (0, 1)], names=["a", "b"])
 
     return map_arrow(both, run, f"a {kind}, b {kind}").distinct()
 

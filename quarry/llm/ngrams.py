@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
-from .common import Words, pinned, signed, slices
+from .common import Words, pieces, pinned, signed
 
 BEGIN, END = np.uint64(1), np.uint64(2)
 #: Most n-grams of a model: rarer ones, under the positions in the corpus divided by this, are cut off.
@@ -62,16 +62,15 @@ def counted(docs: DataFrame, order: int, text_col: str = "text", label_col: str
     def run(batches):
         held: dict[str, list] = {}
         for batch in batches:
-            texts, labels = batch.column(0).to_pylist(), np.array([x or "" for x in batch.column(1).to_pylist()], object)
-            texts = [(t or "").lower() for t in texts]
-            for a, b in slices(texts):
-                w = Words(texts[a:b])
+            for part in pieces(batch, (0,)):
+                labels = np.array([x or "" for x in part.column(1).to_pylist()], object)
+                w = Words([(t or "").lower() for t in part.column(0).to_pylist()])
                 if not len(w.hash):
                     continue
                 first, at = distinct(w.hash)
                 keys, word = grams(word_texts(w, first), order)
-                for label in set(labels[a:b]):
-                    mine = labels[a:b] == label
+                for label in set(labels):
+                    mine = labels == label
                     n = np.bincount(at[mine[w.text_of]], minlength=len(first))
                     got = n[word] > 0
                     held.setdefault(label, []).append(summed(keys[got], n[word][got]))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
-from .common import Words, mix, per_text, pinned, slices
+from .common import Words, mix, per_text, pieces, pinned
 from .ngrams import collected, counted, distinct, grams, lookup, summed, word_texts
 
 ORDER = 4
@@ -99,9 +99,8 @@ def measured(docs: DataFrame, models: dict[str, Kneser], id_col: str = "doc_id",
     def run(batches):
         ms = shared.value
         for batch in batches:
-            texts, langs = batch.column(1).to_pylist(), np.array(batch.column(2).to_pylist(), object)
-            for a, b in slices(texts):
-                part, n = texts[a:b], b - a
+            for rows in pieces(batch, (1,)):
+                part, langs, n = rows.column(1).to_pylist(), np.array(rows.column(2).to_pylist(), object), rows.num_rows
                 w = Words(part)
                 inside = np.r_[0, np.cumsum(~w.space & ((w.data & 0xC0) != 0x80))]
                 symbols = np.r_[0, np.cumsum(_SYMBOL[w.data])]
@@ -132,8 +131,8 @@ def measured(docs: DataFrame, models: dict[str, Kneser], id_col: str = "doc_id",
                     words = word_texts(low, first)
                     size = np.fromiter(map(len, words), np.int64, len(words)) + 1
                     keys, word = grams(words, ORDER)
-                    for lang in set(langs[a:b]) & ms.keys():
-                        mine = np.flatnonzero((langs[a:b] == lang)[low.text_of])
+                    for lang in set(langs) & ms.keys():
+                        mine = np.flatnonzero((langs == lang)[low.text_of])
                         use = np.zeros(len(words), bool)
                         use[at[mine]] = True
                         pick = use[word]
@@ -142,7 +141,7 @@ def measured(docs: DataFrame, models: dict[str, Kneser], id_col: str = "doc_id",
                         total, length = per_text(per_word[at[mine]], t, n), per_text(size[at[mine]], t, n)
                         np.divide(-total, length, out=lp, where=length > 0)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, n), batch.column(2).slice(a, n), *[pa.array(np.asarray(x).astype(np.int64)) for x in (w.count, chars, symbols[w.text_end] - symbols[w.text_start], dup, repeat)], pa.array(lp, from_pandas=True)],
+                    [rows.column(0), rows.column(2), *[pa.array(np.asarray(x).astype(np.int64)) for x in (w.count, chars, symbols[w.text_end] - symbols[w.text_start], dup, repeat)], pa.array(lp, from_pandas=True)],
                     names=["id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl"],
                 )
 
