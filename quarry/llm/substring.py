@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
-from .common import Words, bounded, components, mix, pinned, run_hashes, signed, slices
+from .common import Words, bounded, components, mix, pieces, pinned, run_hashes, signed
 from .neardup import SHINGLE, band_hashes, linked
 
 LEAST_WORDS = 20
@@ -48,12 +48,11 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            whole = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in slices(whole):
+            for part in pieces(batch, (1,)):
                 lines, row, start, end = [], [], [], []
-                for i in range(a, b):
+                for i, text in enumerate(part.column(1).to_pylist()):
                     at = 0
-                    for line in whole[i].split("\n"):
+                    for line in (text or "").split("\n"):
                         if len(line) >= 2 * LEAST_WORDS - 1:
                             lines.append(line.lower())
                             row.append(i)
@@ -72,13 +71,14 @@ def paragraphs(docs: DataFrame) -> DataFrame:
                 order = (np.arange(len(w.hash)) - w.first[:-1][words]).astype(np.uint64)
                 sums = [np.r_[np.uint64(0), np.cumsum(mix(w.hash ^ mix(order + np.uint64(x))))] for x in (11, 13)]
                 keys = [c[w.first[long + 1]] - c[w.first[long]] for c in sums]
-                text = [f"{x:016x}{y:016x}" for x, y in zip(keys[0].tolist(), keys[1].tolist(), strict=True)]
+                both = np.ascontiguousarray(np.stack(keys, axis=1).astype(">u8")).tobytes()
+                named = [both[i : i + 16] for i in range(0, len(both), 16)]
                 bands = band_hashes(minhash(s, starts), BANDS, ROWS)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(long) + 1, dtype=np.int32) * BANDS), pa.array(signed(bands.ravel())))
                 pick = lambda x: np.array(x, np.int64)[long]  # noqa: E731,B023
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pick(row))), pa.array(pick(start)), pa.array(pick(end)), pa.array(w.count[long]), pa.array(text), lists], names=["id", "start", "end", "words", "key", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(pick(row))), pa.array(pick(start)), pa.array(pick(end)), pa.array(w.count[long]), pa.array(named, pa.binary()), lists], names=["id", "start", "end", "words", "key", "bands"])
 
-    return map_arrow(docs, run, f"id {dict(docs.dtypes)['id']}, start long, end long, words long, key string, bands array<long>")
+    return map_arrow(docs, run, f"id {dict(docs.dtypes)['id']}, start long, end long, words long, key binary, bands array<long>")
 
 
 def sentence_runs(docs: DataFrame) -> DataFrame:
@@ -86,9 +86,8 @@ def sentence_runs(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            whole = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in slices(whole):
-                w = Words(whole[a:b], ascii_lower=True)
+            for part in pieces(batch, (1,)):
+                w = Words([t or "" for t in part.column(1).to_pylist()], ascii_lower=True)
                 n = len(w.hash)
                 if not n:
                     continue
@@ -103,7 +102,7 @@ def sentence_runs(docs: DataFrame) -> DataFrame:
                 points = np.r_[0, np.cumsum((w.data & 0xC0) != 0x80)]
                 base = points[w.text_start][w.text_of[start]]
                 keys = [run_hashes(mix(w.hash ^ np.uint64(x)), start, end) for x in (3, 5)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(w.text_of[start])), pa.array(points[w.start[start]] - base), pa.array(points[w.end[end - 1]] - base), pa.array(end - start), *[pa.array(signed(k)) for k in keys]], names=["id", "start", "end", "words", "k1", "k2"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(w.text_of[start])), pa.array(points[w.start[start]] - base), pa.array(points[w.end[end - 1]] - base), pa.array(end - start), *[pa.array(signed(k)) for k in keys]], names=["id", "start", "end", "words", "k1", "k2"])
 
     return map_arrow(docs, run, f"id {dict(docs.dtypes)['id']}, start long, end long, words long, k1 long, k2 long")
 
@@ -111,9 +110,10 @@ def sentence_runs(docs: DataFrame) -> DataFrame:
 def repeated_runs(rows: DataFrame, reported: DataFrame) -> DataFrame:
     """Runs of sentences that several documents hold, outside the spans reported(id, start, end), joined where they overlap in a document."""
     runs = sentence_runs(rows)
-    null = F.col("id").isNull()
-    shared = runs.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max(null).alias("n"), F.min(null).alias("all_null")).where("first <> last or (n and not all_null)").select("k1", "k2", F.col("first").alias("first_id"))
-    hits = pinned(runs.join(bounded(pinned(shared)), ["k1", "k2"]).select("id", "start", "end", "words", "first_id", F.concat(F.lower(F.hex("k1")), F.lower(F.hex("k2"))).alias("class_id")))
+    spread = lambda df, *k: df.groupBy(*k).agg(F.min("id").alias("first_id"), F.max("id").alias("last"), F.max(F.col("id").isNull()).alias("n")).where("first_id <> last or (n and first_id is not null)").drop("last", "n")
+    # one half of the key finds candidates, for the narrower shuffle; both halves decide among the few that are left
+    near = pinned(runs.join(bounded(pinned(spread(runs, "k1").select("k1"))), "k1", "left_semi"))
+    hits = near.join(bounded(pinned(spread(near, "k1", "k2"))), ["k1", "k2"]).select("id", "start", "end", "words", "first_id", F.concat(F.lower(F.hex("k1")), F.lower(F.hex("k2"))).alias("class_id"))
     spans = reported.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans")).withColumnRenamed("id", "_id")
     hits = hits.join(spans, F.col("id").eqNullSafe(F.col("_id")), "left").where(~F.coalesce(F.exists("spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start"))), F.lit(False)))
     order = Window.partitionBy("id").orderBy("start", "end")
@@ -132,9 +132,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     links = linked(nodes, lambda need: passages(need, places, rows))
     roots = pinned(components(links)).select(F.col("node").alias("key"), "root")
-    named = distinct.select("key", "copies").join(roots, "key", "left").where("copies > 1 or root is not null").select("key", F.coalesce("root", "key").alias("class_id"))
+    named = distinct.select("key", "copies").join(roots, "key", "left").where("copies > 1 or root is not null").select("key", F.coalesce("root", "key").alias("class_key"))
     named = bounded(pinned(named))
-    hits = pinned(found.select("id", "start", "end", "words", "key").join(named, "key"))
+    hits = pinned(found.select("id", "start", "end", "words", "key").join(named, "key").withColumn("class_id", F.lower(F.hex("class_key"))).drop("class_key", "key"))
     spans = hits.groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "start")).alias("f"), F.max(F.struct(F.col("id").isNull().alias("n"), "id")).alias("l"))
     spans = spans.where(~(F.col("f.id").eqNullSafe(F.col("l.id"))))
     out = pinned(hits.join(bounded(pinned(spans)), "class_id").select("id", "start", "end", F.col("words").alias("n_words"), "class_id", F.col("f.id").alias("first_id"), (~(F.col("id").eqNullSafe(F.col("f.id")) & (F.col("start") == F.col("f.start")))).alias("removed")))
