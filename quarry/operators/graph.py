@@ -35,8 +35,10 @@ def _in_one_task(edges: DataFrame, nodes: DataFrame, run, schema: str) -> DataFr
     rows = edges.select("src", "dst", F.col("weight").cast("double")).unionByName(nodes.select(F.col("path").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(None).cast("double").alias("weight")))
 
     def one(parts):
-        df = pd.concat(list(parts), ignore_index=True)
-        yield run(df[df.dst.notna()].reset_index(drop=True), sorted(df[df.dst.isna()].src))
+        df = pd.concat([pd.DataFrame({"src": [], "dst": [], "weight": []}, dtype=object), *parts], ignore_index=True)
+        out = run(df[df.dst.notna()].reset_index(drop=True), sorted(df[df.dst.isna()].src))
+        if len(out):
+            yield out
 
     return rows.coalesce(1).mapInPandas(one, schema)
 

@@ -97,7 +97,8 @@ FROM near WHERE distance > 0 ORDER BY distance, total_weight DESC, path LIMIT 25
 def star_neighborhood(spark, sf_dir):
     edges = _edges(spark, sf_dir)
     centre = edges.agg(F.min("src")).first()[0]
-    return G.star(edges, centre, 2).limit(25)
+    # without edges there is no centre, and nothing around it
+    return G.star(edges, centre or "", 2 if centre else 0).limit(25)
 
 
 _SEEDS = "seeds AS (SELECT DISTINCT src AS path FROM deps ORDER BY path LIMIT 2)"
