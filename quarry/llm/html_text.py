@@ -37,7 +37,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
 NOT_TEXT = frozenset("head nav footer aside form button select option dialog menu object svg math canvas audio video map".split()) | RAW
 MAIN = frozenset(("article", "main"))
-NOISE_NAMES = frozenset("ad ads adv advert advertisement advertisements adverts adsense sponsor sponsored promo promotion banner nav navbar navigation menu menubar sidebar sidenav footer masthead topbar comment comments disqus reply replies respond cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup login social share sharing related recommended breadcrumb breadcrumbs popup modal overlay toolbar pagination pager widget skip".split())
+NOISE_NAMES = frozenset("ad ads adv advert advertisement advertisements adverts adsense sponsor sponsored promo promotion banner nav navbar navigation menu menubar sidebar sidenav footer masthead topbar comment comments disqus reply replies respond cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup login social share sharing related recommended breadcrumb popup modal overlay toolbar pagination pager widget skip".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar".split())
 CLOSES = {"p": frozenset(("p",)), "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr", "td", "th")), "td": frozenset(("td", "th")), "th": frozenset(("td", "th")), "option": frozenset(("option",))}
 WALLS = frozenset("table ul ol dl div article main section body html td th li blockquote".split())
@@ -62,7 +62,7 @@ def _names(attrs: str) -> tuple[str, bool]:
         kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if kind in ("class", "id"):
             path += ("." if kind == "class" else "#") + re.sub(r"\d+", "0", value.strip())
-            noise = noise or any(x.lower() in NOISE_NAMES for x in SPLIT.split(value) if x)
+            noise = noise or any(x.lower() in NOISE_NAMES or x.lower().removesuffix("s") in NOISE_NAMES for x in SPLIT.split(value) if x)
         elif kind == "role":
             noise = noise or value.strip().lower() in NOISE_ROLES
         elif kind == "hidden":
