@@ -3,11 +3,13 @@ without secrets, mixed to the sources' weights, as BPE tokens."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, mixing, neardup, quality, secrets
-from quarry.llm.common import pinned
+from quarry.llm.common import shared_folder
 from quarry.llm.queries import vocabulary
 
 
@@ -44,7 +46,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = pinned(stage(spark, docs, sf_dir))
+    """Each stage's rows are written as Parquet into the shared folder and read again by the next."""
+    docs, to = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{to}/{k}")
+        docs = spark.read.parquet(f"{to}/{k}")
     return docs
