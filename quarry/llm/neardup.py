@@ -9,9 +9,12 @@ Jaccard similarity of the texts.
 
 Texts of equal weighted shingles are one class from the start, and one of them stands for all. Bands
 of registers are bucketed; each text is compared with its buckets' heads, and what is left apart in
-a bucket is compared again, component by component, in other orders. So no bucket's pairs are all
-written out and a group of near copies costs as many comparisons as it has texts. A link needs a
-similarity (probability Jaccard, or that of the plain shingle sets) of 0.8, computed from the texts.
+a bucket is compared again, component by component, in other orders. That joins most of a group at as
+many comparisons as it has texts. Buckets that still hold several components are then compared in
+full: they are dealt in blocks over cells of two blocks each, where every text meets all texts of
+other components, so that in the end any two texts of a bucket are of one component or have been
+compared. A link needs a similarity (probability Jaccard, or that of the plain shingle sets) of 0.8,
+computed from the texts.
 
 Defined cases: texts without words are in no class but their own; rows that share an id are one
 document, linked by any of their texts; a null id has a null class; an empty table gives no rows.
@@ -26,14 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shipping import map_arrow
-from .common import Words, bounded, components, mix, pieces, pinned, signed
+from ..shipping import map_arrow, ship
+from .common import Words, bounded, components, mix, pieces, pinned, signed, slices
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: 16 bands of 4 registers: at similarity 0.8 a pair meets in a bucket with probability 0.9998.
 BANDS, ROWS = 16, 4
 #: Further rounds of comparison inside buckets, and how many neighbours each component meets in one.
 ROUNDS, NEIGHBOURS = 2, 4
+#: Texts in a block of a bucket that is compared in full; a cell holds two blocks.
+BLOCK = 256
 _GOLD, _SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -165,7 +170,86 @@ def linked(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> DataFra
         if not more.limit(1).count():
             break
         links = pinned(links.unionByName(more))
-    return links
+    return links.unionByName(remaining(members, links, texts))
+
+
+def cells(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(cell, id, root): the members(bucket, id) of buckets with several components, dealt so that any two of one bucket and different roots share a cell."""
+    roots = components(links).withColumnRenamed("node", "id")
+    at = members.select("bucket", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    sums = at.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"), (F.min("root") < F.max("root")).alias("mixed"))
+    # buckets of the same members are compared once
+    open_ = pinned(sums.where("mixed").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket"))
+    at = pinned(at.join(bounded(open_), "bucket"))
+    # a component of a block or more has blocks of its own, which need not meet one another
+    per = at.groupBy("bucket", "root").agg(F.count("*").alias("c"))
+    whole = per.groupBy("bucket").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("c") < BLOCK, F.col("c")).otherwise(0)).alias("rest"))
+    large, own = F.col("n") > 2 * BLOCK, F.col("c") >= BLOCK
+    part = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.ceil(F.when(own, F.col("c")).otherwise(F.col("rest")) / BLOCK)))
+    at = at.join(per, ["bucket", "root"]).join(whole, "bucket").withColumns({"owner": F.when(large & own, F.col("root")), "part": F.when(large, part).otherwise(F.lit(0).cast("long"))})
+    at = pinned(at.select("bucket", "id", "root", "owner", F.xxhash64("owner", "part").alias("block")))
+    blocks = pinned(at.select("bucket", "owner", "block").distinct())
+    pairs = blocks.select("bucket", F.col("owner").alias("o"), F.col("block").alias("a")).join(blocks.select("bucket", "owner", F.col("block").alias("b")), "bucket").where("a < b and (o <=> owner and o is null or not (o <=> owner))").select("bucket", "a", "b")
+    alone = blocks.groupBy("bucket").agg(F.count("*").alias("k"), F.min("block").alias("a")).where("k = 1").select("bucket", "a", F.col("a").alias("b"))
+    dealt = pairs.unionByName(alone).select("bucket", F.xxhash64("bucket", "a", "b").alias("cell"), F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
+    return at.join(dealt, ["bucket", "block"]).select("cell", "id", "root")
+
+
+def joined(texts: list[str], roots: list) -> list[tuple[int, int]]:
+    """Pairs of similar texts of different roots: enough for the components of all such pairs."""
+    parts = [weighted(*Words(texts[i:j]).shingles(SHINGLE)) for i, j in slices(texts)]
+    per = [np.bincount(t, minlength=j - i) for (i, j), (_, t, _) in zip(slices(texts), parts, strict=True)]
+    size = np.concatenate(per)
+    held = np.flatnonzero(size)
+    if not len(held):
+        return []
+    s, n = np.concatenate([x[0] for x in parts]), np.concatenate([x[2] for x in parts]).astype(np.float64)
+    size = size[held]
+    ends = np.cumsum(size)
+    starts = ends - size
+    distinct, code = np.unique(s, return_inverse=True)
+    share = n / np.repeat(np.add.reduceat(n, starts), size)
+    repeats = np.maximum.reduceat(n, starts) > 1
+    names = {r: k for k, r in enumerate(dict.fromkeys(roots))}
+    comp = np.array([names[roots[i]] for i in held])
+    most = np.bincount(comp).argmax()
+    out = []
+    mine = np.zeros(len(distinct))
+    # each text but those of the largest component meets all texts of other components
+    for x in np.flatnonzero(comp != most):
+        other = comp != comp[x]
+        if not other.any():
+            continue
+        span = slice(starts[x], ends[x])
+        mine[code[span]] = share[span]
+        there = mine[code]
+        shared = np.add.reduceat((there > 0).astype(np.int64), starts)
+        near = other & (shared / (size + size[x] - shared) >= THRESHOLD)
+        maybe = other & ~near & (shared > 0) & (repeats | repeats[x])
+        if maybe.any():
+            # probability Jaccard is at most the sum of the lesser shares
+            maybe &= np.add.reduceat(np.minimum(there, share), starts) >= THRESHOLD - 1e-9
+        mine[code[span]] = 0
+        for y in np.r_[np.flatnonzero(near), np.flatnonzero(maybe)]:
+            if comp[y] != comp[x] and (near[y] or probability_jaccard(*((s[starts[z] : ends[z]], n[starts[z] : ends[z]]) for z in (x, y))) >= THRESHOLD):
+                out.append((int(held[x]), int(held[y])))
+                comp[comp == comp[y]] = comp[x]
+    return out
+
+
+def remaining(members: DataFrame, links: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """links(a, b) between the components that members(bucket, id) still hold apart, after comparing all of them."""
+    kind = dict(members.dtypes)["id"]
+    dealt = pinned(cells(members, links))
+    held = texts(bounded(pinned(dealt.select("id").distinct())))
+
+    def run(group: pa.Table) -> pa.Table:
+        pairs = joined([(t or "").lower() for t in group.column("text").to_pylist()], group.column("root").to_pylist())
+        ids = group.column("id")
+        return pa.table({k: ids.take(pa.array([p[i] for p in pairs], pa.int64())) for i, k in enumerate(("a", "b"))})
+
+    ship(members.sparkSession)
+    return pinned(dealt.join(held, "id").select("cell", "id", "root", "text").groupBy("cell").applyInArrow(run, f"a {kind}, b {kind}").distinct())
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -79,6 +79,26 @@ def test_large_group_of_near_copies(docs):
     assert got == {0: 150, 150: 1}
 
 
+@pytest.mark.parametrize("block", [neardup.BLOCK, 24])
+def test_large_group_with_two_edits_in_each_copy(docs, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)  # small blocks deal one bucket over many cells
+    rng = random.Random(9)
+    texts = []
+    for i in range(400):
+        copy = [f"w{k}" for k in range(120)]
+        for k in rng.sample(range(120), 2):
+            copy[k] = f"odd{i}"
+        texts.append(" ".join(copy))
+    sets, want = [set(shingles(t)) for t in texts], list(range(len(texts)))  # no shingle stands twice in a text
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if want[i] != want[j] and len(a & sets[j]) / len(a | sets[j]) >= 0.8:
+                x, y = sorted((want[i], want[j]))
+                want = [x if u == y else u for u in want]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs(rows(*texts))).collect()}
+    assert got == dict(enumerate(want))
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(400, 460)]
