@@ -7,8 +7,8 @@ content importance is 1 - log(c) / log(m); a node's presentation importance is t
 child sequences over log(m); a block's importance blends the two. Blocks of low importance are
 removed, as are branches whose element, class or id says that they are no article (menus, headers,
 footers, sidebars, notices, adverts, forms, comments), of importance 0 by definition. If a page
-marks its article or main part, that part alone is kept, whatever the pages around it hold: a page
-that was copied is no template.
+marks its article or main part, what is left of that part alone is kept, unless long blocks outside
+hold more text than it does (teasers or comments beside the real body).
 
 Defined cases: a null html gives an empty text; a null or odd url counts as one more host; a block
 needs LEAST_PAGES pages of its host to be judged by them; where all would go, the page's own
@@ -31,6 +31,8 @@ from .common import BROADCAST_ROWS, pinned
 from .ngrams import lookup
 
 LEAST_PAGES, LEAST_IMPORTANCE, BLEND = 4, 0.5, 0.9
+#: Words from which a block outside the marked part weighs against it.
+LONG = 20
 #: Elements by what they mean for the text.
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -175,6 +177,13 @@ def _hash(*parts: str) -> int:
     return xxhash.xxh64_intdigest("\x1f".join(parts))
 
 
+def body(blocks: list[Block]) -> list[Block]:
+    """The blocks of the marked part; all blocks if none are marked, or the long ones outside hold more text."""
+    marked = [b for b in blocks if b.main]
+    outside = sum(len(b.text) for b in blocks if not b.main and len(b.text.split()) >= LONG)
+    return marked if marked and sum(len(b.text) for b in marked) >= outside else blocks
+
+
 def style_rows(pages: DataFrame) -> DataFrame:
     """(host, node, kind, value): once a page, for each node the texts in it (kind 0) and its child sequence (kind 1), as hashes."""
 
@@ -215,14 +224,12 @@ def text_of(url: str | None, html: str | None, unimportant) -> str:
     """The page's text; unimportant(keys) says which (node, value) hashes the style tree has found so."""
     blocks, _ = parse(html or "")
     blocks = [b for b in blocks if not b.noise]
-    if any(b.main for b in blocks):
-        return " ".join([b.text for b in blocks if b.main])
     if not blocks:
         return ""
     host = host_of(url)
     gone = unimportant([_hash(host, b.path) ^ _hash(b.text) * 2 & 0xFFFFFFFFFFFFFFFF for b in blocks])
-    kept = [b.text for b, g in zip(blocks, gone, strict=True) if not g]
-    return " ".join(kept or [b.text for b in blocks])
+    kept = [b for b, g in zip(blocks, gone, strict=True) if not g]
+    return " ".join([b.text for b in body(kept or blocks)])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most: int = BROADCAST_ROWS) -> DataFrame:

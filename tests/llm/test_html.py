@@ -34,3 +34,13 @@ def test_copied_articles_stay(spark):
     html = "<nav>menu</nav><article><p>The same article on every page.</p></article>"
     df = spark.createDataFrame([(i, "http://h/", html) for i in range(9)], "page_id long, url string, html string")
     assert {r["text"] for r in html_text.extract(df).collect()} == {"The same article on every page."}
+
+
+def test_style_tree_judges_the_marked_part_too(spark):
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    page = lambda i: f"<article><h1>T{i}</h1><p>{own(i)}</p><p>Read all of our stories at any time.</p></article>"
+    teasers = lambda i: f"<article>Teaser</article><article>Another {i}</article><div><p>{own(100 + i)}</p></div>"
+    data = [(i, "http://a/", page(i)) for i in range(12)] + [(100 + i, "http://b/", teasers(i)) for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"T{i} {own(i)}" for i in range(12))
+    assert all(own(100 + i) in got[100 + i] for i in range(3))
