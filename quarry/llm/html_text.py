@@ -8,7 +8,8 @@ child sequences over log(m); a block's importance blends the two. Blocks of low
 removed, as are branches whose element, class or id says that they are no article (menus, headers,
 footers, sidebars, notices, adverts, forms, comments), of importance 0 by definition. If a page
 marks its article or main part, what is left of that part alone is kept, unless long blocks outside
-hold more text than it does (teasers or comments beside the real body).
+hold more text than it does (teasers or comments beside the real body). Pages of one host and one
+body count once, whatever stands around it: a page that was copied is no template.
 
 Defined cases: a null html gives an empty text; a null or odd url counts as one more host; a block
 needs LEAST_PAGES pages of its host to be judged by them; where all would go, the page's own
@@ -31,7 +32,7 @@ from .common import BROADCAST_ROWS, pinned
 from .ngrams import lookup
 
 LEAST_PAGES, LEAST_IMPORTANCE, BLEND = 4, 0.5, 0.9
-#: Words from which a block outside the marked part weighs against it.
+#: Words from which a block outside the marked part weighs against it, and a block tells a page's body.
 LONG = 20
 #: Elements by what they mean for the text.
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -184,30 +185,37 @@ def body(blocks: list[Block]) -> list[Block]:
     return marked if marked and sum(len(b.text) for b in marked) >= outside else blocks
 
 
+def body_key(blocks: list[Block]) -> int:
+    """The same for pages of one body: the least hash of its long blocks, or a hash of all its blocks if none is long."""
+    held = body([b for b in blocks if not b.noise])
+    return min((_hash(b.text) for b in held if len(b.text.split()) >= LONG), default=_hash(*[b.text for b in held]))
+
+
 def style_rows(pages: DataFrame) -> DataFrame:
-    """(host, node, kind, value): once a page, for each node the texts in it (kind 0) and its child sequence (kind 1), as hashes."""
+    """(host, node, kind, value, page): once a page, for each node the texts in it (kind 0) and its child sequence (kind 1), as hashes; page stands for the page's body."""
 
     def run(batches):
         for batch in batches:
-            out = [[], [], [], []]
+            out = [[], [], [], [], []]
             for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 host = host_of(url)
                 h = _hash(host)
                 blocks, children = parse(html or "")
+                page = body_key(blocks)
                 seen = {(_hash(host, b.path), 0, _hash(b.text)) for b in blocks if not b.noise}
                 seen |= {(_hash(host, p), 1, _hash(*c)) for p, c in children.items()}
                 for node, kind, value in seen:
-                    for x, v in zip(out, (h, node, kind, value), strict=True):
+                    for x, v in zip(out, (h, node, kind, value, page), strict=True):
                         x.append(v)
             longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([longs(out[0]), longs(out[1]), pa.array(out[2], pa.int32()), longs(out[3])], names=["host", "node", "kind", "value"])
+            yield pa.RecordBatch.from_arrays([longs(out[0]), longs(out[1]), pa.array(out[2], pa.int32()), longs(out[3]), longs(out[4])], names=["host", "node", "kind", "value", "page"])
 
-    return map_arrow(pages.select("url", "html"), run, "host long, node long, kind int, value long")
+    return map_arrow(pages.select("url", "html"), run, "host long, node long, kind int, value long, page long")
 
 
 def low_importance(pages: DataFrame) -> DataFrame:
     """(node, value) of the texts that the host's style tree finds unimportant."""
-    counts = pinned(style_rows(pages).groupBy("node", "kind", "value").agg(F.count("*").alias("c")))
+    counts = pinned(style_rows(pages).select("node", "kind", "value", "page").distinct().groupBy("node", "kind", "value").agg(F.count("*").alias("c")))
     nodes = counts.groupBy("node").agg(
         F.sum(F.when(F.col("kind") == 1, F.col("c"))).alias("m1"), F.sum(F.when(F.col("kind") == 1, F.col("c") * F.log("c"))).alias("s1"),
     )

@@ -44,3 +44,12 @@ def test_style_tree_judges_the_marked_part_too(spark):
     got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"T{i} {own(i)}" for i in range(12))
     assert all(own(100 + i) in got[100 + i] for i in range(3))
+
+
+def test_copies_of_a_body_are_no_template(spark):
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    copy = lambda i: f"<div><h1>Seen on day {i}</h1><p>{own('copy')}</p></div>"
+    data = [(i, "http://h/", copy(i)) for i in range(60)] + [(100 + i, "http://h/", f"<div><h1>Title {i}</h1><p>{own(i)}</p></div>") for i in range(60)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Seen on day {i} {own('copy')}" for i in range(60))
+    assert all(got[100 + i] == f"Title {i} {own(i)}" for i in range(60))
