@@ -16,8 +16,6 @@ from ..shipping import map_arrow
 from .common import Words, pieces, pinned, signed
 
 BEGIN, END = np.uint64(1), np.uint64(2)
-#: Most n-grams of a model: rarer ones, under the positions in the corpus divided by this, are cut off.
-MOST_GRAMS = 1_500_000
 
 
 def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,20 +83,15 @@ def counted(docs: DataFrame, order: int, text_col: str = "text", label_col: str
     return map_arrow(rows, run, "label string, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
 
 
-def collected(counts: DataFrame, most: int = MOST_GRAMS) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """{label: (grams, n)}, at most `most` grams: those that occur at least total / most times, of which there can't be more."""
-    counts = pinned(counts)
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    kept = counts.where(F.col("n") >= max(1, -(-total // most)))
-    t = kept.toArrow().combine_chunks()
-    labels = np.array(t.column("label").to_pylist(), object)
+def collected(counts: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """{label: (grams, n)}: all grams, sorted, whatever the size of the corpus."""
+    t = pinned(counts).toArrow()
+    labels = t.column("label").combine_chunks().dictionary_encode()
     keys, n = t.column("gram").to_numpy().view(np.uint64), t.column("n").to_numpy()
-    out = {}
-    for label in sorted(set(labels.tolist())):
-        own = np.flatnonzero(labels == label)
-        own = own[np.argsort(keys[own])]
-        out[label] = (keys[own].copy(), n[own].astype(np.int64).copy())
-    return out
+    order = np.lexsort((keys, labels.indices.to_numpy()))
+    ends = np.cumsum(np.bincount(labels.indices.to_numpy(), minlength=len(labels.dictionary)))
+    parts = {label: order[i:j] for label, i, j in zip(labels.dictionary.to_pylist(), np.r_[0, ends], ends)}
+    return {label: (keys[own], n[own].astype(np.int64)) for label, own in sorted(parts.items())}
 
 
 def lookup(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from quarry.llm import gru, langid, lm, quality
-from quarry.llm.ngrams import grams
+from quarry.llm.ngrams import collected, grams
 
 from .conftest import rows
 
@@ -148,3 +148,10 @@ def test_state_is_carried_across_windows():
     whole = gru.score(p, tokens, np.array([0, 200, 230, 500]), 0, lanes=2)
     alone = [gru.score(p, tokens[a:b], np.array([0, b - a]), 0)[0] for a, b in ((0, 200), (200, 230), (230, 500))]
     assert whole == pytest.approx(alone, rel=1e-4)
+
+
+def test_counts_of_rare_grams_stay_beside_common_ones(spark):
+    counts = spark.createDataFrame([("en", 9, 5_000_000), ("en", 4, 1), ("xx", 7, 2), ("xx", 5, 1)], "label string, gram long, n long")
+    got = {k: (g.tolist(), n.tolist()) for k, (g, n) in collected(counts).items()}
+    assert got == {"en": ([4, 9], [1, 5_000_000]), "xx": ([5, 7], [1, 2])}
+    assert collected(counts.limit(0)) == {}
