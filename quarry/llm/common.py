@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import threading
+import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow.compute as pc
@@ -11,7 +16,9 @@ from pyspark.sql import functions as F
 
 #: A word is a run of characters other than these six.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Largest table, in rows, that an operator sends to every executor; above it the operator shuffles instead.
+#: Largest table, in bytes as a hash table, that a join sends to every executor; above it both sides are shuffled.
+BROADCAST_BYTES = 24 << 20
+#: Largest array of numbers, in rows, that goes to every Python worker; above it a join takes its place.
 BROADCAST_ROWS = 1_500_000
 #: Characters of text that a Python worker turns into arrays at a time.
 BATCH_CHARS = 1_500_000
@@ -25,24 +32,95 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that all executors share; a folder of its own where none is set."""
+    """The folder of spark.checkpoint.dir, which all executors share; where it is unset, a local master gets one of its own and a cluster is refused."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint"))
+        at = sc.getConf().get("spark.checkpoint.dir")
+        if not at:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
+            at = tempfile.mkdtemp(prefix="checkpoint")
+            atexit.register(shutil.rmtree, at, True)
+        sc.setCheckpointDir(at)
     return sc.getCheckpointDir()
 
 
-def pinned(df: DataFrame) -> DataFrame:
-    """Computes df once into the shared checkpoint folder, so that a lost executor costs no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+_OPEN = threading.local()
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint if df, already pinned and of narrow rows, has at most so many rows; else df."""
+def _scopes() -> list[list[str]]:
+    if not hasattr(_OPEN, "scopes"):
+        _OPEN.scopes = []
+    return _OPEN.scopes
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that pinned() writes while this is open go when it closes, but those that outlive it."""
+    scopes = _scopes()
+    scopes.append([])
+    try:
+        yield
+    finally:
+        for at in scopes.pop():
+            removed(spark, at)
+
+
+def removed(spark: SparkSession, at: str) -> None:
+    """Deletes a table or folder of the shared folder."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Spark's setting that frees a query's shuffle files when it ends; nothing reads those of a table that has been written.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, at: str) -> DataFrame:
+    """df as a Parquet table in the folder at, read again; the shuffle files behind it are freed."""
+    spark = df.sparkSession
+    before = spark.conf.get(_FREE, None)
+    spark.conf.set(_FREE, "true")
+    try:
+        df.write.parquet(at)
+    finally:
+        spark.conf.set(_FREE, before) if before is not None else spark.conf.unset(_FREE)
+    return spark.read.schema(df.schema).parquet(at)
+
+
+def pinned(df: DataFrame, outlives: bool = False) -> DataFrame:
+    """Computes df once, as a table in the shared folder, so that a lost executor costs no recomputation.
+
+    The table goes with the innermost scratch() that is open, or, if it outlives that, with the one around it.
+    """
+    at = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    scopes = _scopes()
+    if len(scopes) > outlives:
+        scopes[-1 - outlives].append(at)
+    return written(df, at)
+
+
+def bounded(df: DataFrame, most: int | None = None) -> DataFrame:
+    """A broadcast hint if df, already pinned, takes at most so many bytes as a hash table; else df, which is then shuffled."""
+    wide = sum({"string": 48, "binary": 32, "boolean": 8}.get(kind, 8 if "<" not in kind else 256) for _, kind in df.dtypes) + 48
+    rows = (BROADCAST_BYTES if most is None else most) // wide
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def unused(name: str, *tables: DataFrame) -> str:
+    """name, with underscores before it until no column of the tables has it, in any case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def own(df: DataFrame, *names: str) -> list[Column]:
+    """The columns of df but those named, as they are."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns if c not in names]
+
+
 def held_out(doc_id: Column, mod: int, rest: int) -> Column:
     """crc32 of the id as text leaves this remainder; a null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % mod == rest, F.lit(False))
@@ -137,7 +215,7 @@ class Words:
         out = np.zeros(len(h), U)
         for k in range(n):
             moved = np.zeros(len(h), U)
-            moved[: len(h) - k] = h[k:] if k else h
+            moved[: max(0, len(h) - k)] = h[k:]
             moved[after <= k] = U(k)
             out = mix(out * _ODD + moved)
         return out[keep], self.text_of[keep]
@@ -165,18 +243,20 @@ def components(links: DataFrame) -> DataFrame:
     gathers a node's links in one task beyond a minimum, and the number of steps grows with the
     logarithm of the longest path. Ends when no link changes.
     """
-    state, links = None, links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-    while True:
-        links = pinned(links)
-        got = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if not got["n"] or tuple(got) == state:
-            return links.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(links.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
-        state = tuple(got)
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
-        up = large.groupBy("b").agg(F.min("a").alias("m"))
-        links = large.join(up, "b").select(F.col("m").alias("x"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("y")).where("x < y").distinct().select(F.col("x").alias("a"), F.col("y").alias("b"))
-
-
-__all__ = ["BROADCAST_ROWS", "WORD", "Words", "bounded", "components", "held_out", "mix", "per_text", "pieces", "pinned", "signed", "slices", "table"]
+    spark, state = links.sparkSession, None
+    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    with scratch(spark):
+        while True:
+            links = pinned(links)
+            got = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+            if not got["n"] or tuple(got) == state:
+                return pinned(links.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(links.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()), outlives=True)
+            state = tuple(got)
+            both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+            large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
+            up = large.groupBy("b").agg(F.min("a").alias("m"))
+            links = large.join(up, "b").select(F.col("m").alias("x"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("y")).where("x < y").distinct().select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+
+__all__ = ["BROADCAST_BYTES", "BROADCAST_ROWS", "WORD", "Words", "bounded", "components", "held_out", "mix", "own", "per_text", "pieces", "pinned", "removed", "scratch", "shared_folder", "signed", "slices", "table", "unused", "written"]

@@ -8,16 +8,18 @@ text, so long texts need little more than one arrival each. Registers agree with
 Jaccard similarity of the texts.
 
 Texts of equal weighted shingles are one class from the start, and one of them stands for all. Bands
-of registers are bucketed; each text is compared with its buckets' heads, and what is left apart in
-a bucket is compared again, component by component, in other orders. That joins most of a group at as
-many comparisons as it has texts. Buckets that still hold several components are then compared in
-full: they are dealt in blocks over cells of two blocks each, where every text meets all texts of
-other components, so that in the end any two texts of a bucket are of one component or have been
-compared. A link needs a similarity (probability Jaccard, or that of the plain shingle sets) of 0.8,
-computed from the texts.
+of registers are bucketed, and each text is compared with its buckets' heads. What that leaves apart
+is compared inside the buckets: in large ones first in rounds, where all texts are dealt at random
+into cells and all pairs of a cell are compared, for as long as a round joins many components; then
+all buckets that still hold several components are compared in full, dealt in blocks over cells of
+two blocks each, where every text meets all texts of other components. So in the end any two texts
+of a bucket are of one component or have been compared; there is no limit on partners. A link needs
+a similarity (probability Jaccard, or that of the plain shingle sets) of 0.8, computed from the texts.
 
 Defined cases: texts without words are in no class but their own; rows that share an id are one
-document, linked by any of their texts; a null id has a null class; an empty table gives no rows.
+document, linked by any of their texts; a null id has a null class; very long texts are compared
+whole; of tied copies the least id stays; an empty table gives no rows; extra columns are carried by
+deduplicated() and ignored by classes(), whatever their names.
 """
 
 from __future__ import annotations
@@ -30,15 +32,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow, ship
-from .common import Words, bounded, components, mix, pieces, pinned, signed, slices
+from .common import Words, bounded, components, mix, own, pieces, pinned, scratch, signed, slices, unused
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: 16 bands of 4 registers: at similarity 0.8 a pair meets in a bucket with probability 0.9998.
 BANDS, ROWS = 16, 4
-#: Further rounds of comparison inside buckets, and how many neighbours each component meets in one.
-ROUNDS, NEIGHBOURS = 2, 4
-#: Texts in a block of a bucket that is compared in full; a cell holds two blocks.
-BLOCK = 256
+#: Texts and shingles in a block of a bucket; a cell holds two blocks.
+BLOCK, BLOCK_SHINGLES = 256, 100_000
+#: Rounds in large buckets go on while one leaves at most this share of the components.
+WORTH = 0.8
 _GOLD, _SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -101,15 +103,15 @@ def probability_jaccard(a: tuple, b: tuple) -> float:
     return float((1.0 / (x_after[last] / wa[ia] + y_upto[last] / wb[ib])).sum())
 
 
-def similarity(a: tuple, b: tuple) -> float:
+def similarity(a: tuple, b: tuple, weighted_too: bool = True) -> float:
     shared = len(np.intersect1d(a[0], b[0], assume_unique=True))
     plain = shared / max(1, len(a[0]) + len(b[0]) - shared)
     # unweighted sets need no second look; probability Jaccard is that of the sets
-    return plain if plain >= THRESHOLD or not shared or (a[1].max() == 1 and b[1].max() == 1) else max(plain, probability_jaccard(a, b))
+    return plain if not weighted_too or plain >= THRESHOLD or not shared or (a[1].max() == 1 and b[1].max() == 1) else max(plain, probability_jaccard(a, b))
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(id, k1, k2, bands) of docs(id, text) with words: k1, k2 stand for the weighted shingles."""
+    """(id, k1, k2, size, bands) of docs(id, text) with words: k1, k2 stand for the weighted shingles, size is how many differ."""
 
     def run(batches):
         for batch in batches:
@@ -125,17 +127,14 @@ def signatures(docs: DataFrame) -> DataFrame:
                 bands = band_hashes(probminhash(s, np.searchsorted(has, t), n.astype(np.float64), len(has), BANDS * ROWS), BANDS, ROWS)
                 flat = pa.array(signed(bands.ravel()))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1, dtype=np.int32) * BANDS), flat)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(has)), *[pa.array(signed(k)) for k in keys], lists], names=["id", "k1", "k2", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(has)), *[pa.array(signed(k)) for k in keys], pa.array(np.diff(np.r_[starts, len(s)]).astype(np.int64)), lists], names=["id", "k1", "k2", "size", "bands"])
 
-    return map_arrow(docs, run, f"id {dict(docs.dtypes)['id']}, k1 long, k2 long, bands array<long>")
+    return map_arrow(docs, run, f"id {dict(docs.dtypes)['id']}, k1 long, k2 long, size long, bands array<long>")
 
 
-def verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], weighted_too: bool = True) -> DataFrame:
     """Those of pairs(a, b) whose texts are similar, as links(a, b). texts gives (id, text) for a table of ids."""
-    pairs = pinned(pairs)
-    held = texts(bounded(pinned(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())))
-    both = pairs.join(held.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(held.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    kind = dict(pairs.dtypes)["a"]
+    spark, kind = pairs.sparkSession, dict(pairs.dtypes)["a"]
 
     def run(batches):
         for batch in batches:
@@ -145,57 +144,90 @@ def verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> DataF
                 s, t, n = weighted(*Words(distinct).shingles(SHINGLE))
                 ends = np.searchsorted(t, np.arange(len(distinct) + 1))
                 sets = {x: (s[ends[i] : ends[i + 1]], n[ends[i] : ends[i + 1]].astype(np.float64)) for i, x in enumerate(distinct)}
-                good = [i for i in range(part.num_rows) if similarity(sets[left[i]], sets[right[i]]) >= THRESHOLD]
+                good = [i for i in range(part.num_rows) if similarity(sets[left[i]], sets[right[i]], weighted_too) >= THRESHOLD]
                 yield pa.RecordBatch.from_arrays([part.column(k).take(pa.array(good, pa.int64())) for k in (0, 1)], names=["a", "b"])
 
-    return map_arrow(both, run, f"a {kind}, b {kind}").distinct()
-
-
-def linked(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """links(a, b) between nodes(id, bands) that are similar, enough for the same components as all links that meet in a bucket."""
-    spread = nodes.select("id", F.explode("bands").alias("bucket"))
-    heads = spread.groupBy("bucket").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = pinned(spread.join(heads, "bucket"))
-    links = pinned(verified(members.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), texts))
-    for k in range(ROUNDS):
-        roots = components(links).withColumnRenamed("node", "id")
-        # one row for each component in a bucket; buckets of one component are done
-        parts = members.select("bucket", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")).groupBy("bucket", "root").agg(F.min_by("id", F.xxhash64(F.lit(k), "id")).alias("id"))
-        order = Window.partitionBy("bucket").orderBy(F.xxhash64(F.lit(k), "root", "bucket"), "root")
-        near = parts.select("id", F.array(*[F.lead("id", i).over(order) for i in range(1, NEIGHBOURS + 1)]).alias("others")).select("id", F.explode("others").alias("other")).where("other is not null")
-        pairs = pinned(near.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
-        if not pairs.limit(1).count():
-            break
-        more = pinned(verified(pairs, texts))
-        if not more.limit(1).count():
-            break
-        links = pinned(links.unionByName(more))
-    return links.unionByName(remaining(members, links, texts))
+    with scratch(spark):
+        pairs = pinned(pairs)
+        held = texts(bounded(pinned(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())))
+        both = pairs.join(held.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(held.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+        return pinned(map_arrow(both, run, f"a {kind}, b {kind}").distinct(), outlives=True)
+
+
+def compared(dealt: DataFrame, texts: Callable[[DataFrame], DataFrame], weighted_too: bool = True) -> DataFrame:
+    """links(a, b): in each cell of dealt(cell, id, root), enough for the components of all similar texts of different roots."""
+    kind = dict(dealt.dtypes)["id"]
+
+    def run(group: pa.Table) -> pa.Table:
+        pairs = joined([(t or "").lower() for t in group.column("text").to_pylist()], group.column("root").to_pylist(), weighted_too)
+        ids = group.column("id")
+        return pa.table({k: ids.take(pa.array([p[i] for p in pairs], pa.int64())) for i, k in enumerate(("a", "b"))})
+
+    ship(dealt.sparkSession)
+    with scratch(dealt.sparkSession):
+        dealt = pinned(dealt)
+        held = texts(bounded(pinned(dealt.select("id").distinct())))
+        return pinned(dealt.join(held, "id").select("cell", "id", "root", "text").groupBy("cell").applyInArrow(run, f"a {kind}, b {kind}").distinct(), outlives=True)
+
+
+def linked(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], weighted_too: bool = True) -> DataFrame:
+    """links(a, b) between nodes(id, size, bands) that are similar: enough for the same components as all links that meet in a bucket."""
+    with scratch(nodes.sparkSession):
+        spread = nodes.select("id", "size", F.explode("bands").alias("bucket"))
+        heads = spread.groupBy("bucket").agg(F.min("id").alias("head"), F.count("*").alias("n"), F.sum("size").alias("sizes")).where("n > 1")
+        members = pinned(spread.join(heads, "bucket"))
+        links = verified(members.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), texts, weighted_too)
+        large = members.where((F.col("n") > 2 * BLOCK) | (F.col("sizes") > 2 * BLOCK_SHINGLES))
+        if large.limit(1).count():
+            links = links.unionByName(settled(large, links, texts, weighted_too))
+        more = compared(cells(members, links), texts, weighted_too)
+        return pinned(links.unionByName(more), outlives=True)
+
+
+def named(members: DataFrame, links: DataFrame) -> DataFrame:
+    """members with the root of each one's component, of those buckets that hold several components."""
+    at = members.join(components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    mixed = at.groupBy("bucket").agg((F.min("root") < F.max("root")).alias("mixed")).where("mixed").select("bucket")
+    return pinned(at.join(bounded(pinned(mixed)), "bucket"))
+
+
+def settled(large: DataFrame, links: DataFrame, texts: Callable[[DataFrame], DataFrame], weighted_too: bool) -> DataFrame:
+    """Further links(a, b) in large buckets, found in random cells, round by round, while a round joins many components."""
+    found, before, turn = links.limit(0), None, 0
+    while True:
+        at = named(large, links.unionByName(found))
+        left = at.select("root").distinct().count()
+        if not left or (before is not None and left > WORTH * before):
+            return found
+        before, turn = left, turn + 1
+        many = F.greatest(F.col("n") / (2 * BLOCK), F.col("sizes") / (2 * BLOCK_SHINGLES))
+        dealt = at.select(F.xxhash64("bucket", F.pmod(F.xxhash64(F.lit(turn), "id", "bucket"), F.ceil(many).cast("long"))).alias("cell"), "id", "root")
+        found = found.unionByName(compared(dealt, texts, weighted_too))
 
 
 def cells(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(cell, id, root): the members(bucket, id) of buckets with several components, dealt so that any two of one bucket and different roots share a cell."""
-    roots = components(links).withColumnRenamed("node", "id")
-    at = members.select("bucket", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    sums = at.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"), (F.min("root") < F.max("root")).alias("mixed"))
+    """(cell, id, root): the members(bucket, id, size) of buckets with several components, dealt so that any two of one bucket and different roots share a cell."""
+    at = named(members.select("bucket", "id", "size"), links)
     # buckets of the same members are compared once
-    open_ = pinned(sums.where("mixed").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket"))
-    at = pinned(at.join(bounded(open_), "bucket"))
+    sums = at.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"))
+    once = pinned(sums.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket"))
+    at = at.join(bounded(once), "bucket", "left_semi")
     # a component of a block or more has blocks of its own, which need not meet one another
-    per = at.groupBy("bucket", "root").agg(F.count("*").alias("c"))
-    whole = per.groupBy("bucket").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("c") < BLOCK, F.col("c")).otherwise(0)).alias("rest"))
-    large, own = F.col("n") > 2 * BLOCK, F.col("c") >= BLOCK
-    part = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.ceil(F.when(own, F.col("c")).otherwise(F.col("rest")) / BLOCK)))
-    at = at.join(per, ["bucket", "root"]).join(whole, "bucket").withColumns({"owner": F.when(large & own, F.col("root")), "part": F.when(large, part).otherwise(F.lit(0).cast("long"))})
-    at = pinned(at.select("bucket", "id", "root", "owner", F.xxhash64("owner", "part").alias("block")))
+    blocks_of = lambda n, s: F.greatest(F.lit(1), F.ceil(F.greatest(F.col(n) / BLOCK, F.col(s) / BLOCK_SHINGLES))).cast("long")
+    per = pinned(at.groupBy("bucket", "root").agg(F.count("*").alias("c"), F.sum("size").alias("s")).withColumn("k", blocks_of("c", "s")))
+    small = lambda x: F.sum(F.when(F.col("k") < 2, F.col(x)).otherwise(0))
+    whole = per.groupBy("bucket").agg(F.sum("c").alias("n"), F.sum("s").alias("ns"), small("c").alias("rc"), small("s").alias("rs")).withColumns({"large": blocks_of("n", "ns") > 2, "rest": blocks_of("rc", "rs")})
+    dealt = per.join(whole, "bucket").select("bucket", "root", F.when(F.col("large") & (F.col("k") > 1), F.col("root")).alias("owner"), F.when(~F.col("large"), F.lit(1)).when(F.col("k") > 1, F.col("k")).otherwise(F.col("rest")).alias("parts"))
+    at = at.join(dealt, ["bucket", "root"])
+    at = pinned(at.select("bucket", "id", "root", "owner", F.xxhash64("owner", F.pmod(F.xxhash64("id"), "parts")).alias("block")))
     blocks = pinned(at.select("bucket", "owner", "block").distinct())
     pairs = blocks.select("bucket", F.col("owner").alias("o"), F.col("block").alias("a")).join(blocks.select("bucket", "owner", F.col("block").alias("b")), "bucket").where("a < b and (o <=> owner and o is null or not (o <=> owner))").select("bucket", "a", "b")
     alone = blocks.groupBy("bucket").agg(F.count("*").alias("k"), F.min("block").alias("a")).where("k = 1").select("bucket", "a", F.col("a").alias("b"))
-    dealt = pairs.unionByName(alone).select("bucket", F.xxhash64("bucket", "a", "b").alias("cell"), F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
-    return at.join(dealt, ["bucket", "block"]).select("cell", "id", "root")
+    met = pairs.unionByName(alone).select("bucket", F.xxhash64("bucket", "a", "b").alias("cell"), F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
+    return at.join(met, ["bucket", "block"]).select("cell", "id", "root")
 
 
-def joined(texts: list[str], roots: list) -> list[tuple[int, int]]:
+def joined(texts: list[str], roots: list, weighted_too: bool = True) -> list[tuple[int, int]]:
     """Pairs of similar texts of different roots: enough for the components of all such pairs."""
     parts = [weighted(*Words(texts[i:j]).shingles(SHINGLE)) for i, j in slices(texts)]
     per = [np.bincount(t, minlength=j - i) for (i, j), (_, t, _) in zip(slices(texts), parts, strict=True)]
@@ -226,6 +258,8 @@ def joined(texts: list[str], roots: list) -> list[tuple[int, int]]:
         shared = np.add.reduceat((there > 0).astype(np.int64), starts)
         near = other & (shared / (size + size[x] - shared) >= THRESHOLD)
         maybe = other & ~near & (shared > 0) & (repeats | repeats[x])
+        if not weighted_too:
+            maybe[:] = False
         if maybe.any():
             # probability Jaccard is at most the sum of the lesser shares
             maybe &= np.add.reduceat(np.minimum(there, share), starts) >= THRESHOLD - 1e-9
@@ -237,41 +271,27 @@ def joined(texts: list[str], roots: list) -> list[tuple[int, int]]:
     return out
 
 
-def remaining(members: DataFrame, links: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """links(a, b) between the components that members(bucket, id) still hold apart, after comparing all of them."""
-    kind = dict(members.dtypes)["id"]
-    dealt = pinned(cells(members, links))
-    held = texts(bounded(pinned(dealt.select("id").distinct())))
-
-    def run(group: pa.Table) -> pa.Table:
-        pairs = joined([(t or "").lower() for t in group.column("text").to_pylist()], group.column("root").to_pylist())
-        ids = group.column("id")
-        return pa.table({k: ids.take(pa.array([p[i] for p in pairs], pa.int64())) for i, k in enumerate(("a", "b"))})
-
-    ship(members.sparkSession)
-    return pinned(dealt.join(held, "id").select("cell", "id", "root", "text").groupBy("cell").applyInArrow(run, f"a {kind}, b {kind}").distinct())
-
-
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, class_id, is_kept) of every row of docs: class_id is the least id of the near copies, which is the one to keep. Extra columns are ignored."""
+    """(id, class_id, is_kept) of every row of docs: class_id is the least id of the near copies, which is the one to keep."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sigs = pinned(signatures(rows)).where("id is not null")
-    distinct = pinned(sigs.groupBy("k1", "k2").agg(F.min_by("bands", "id").alias("bands"), F.min("id").alias("rep"), F.max("id").alias("last")))
-    shared = distinct.where("rep <> last").select("k1", "k2", "rep")
-    copies = sigs.select("id", "k1", "k2").join(bounded(pinned(shared)), ["k1", "k2"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    links = linked(distinct.select(F.col("rep").alias("id"), "bands"), lambda need: rows.where("id is not null").join(need, "id", "left_semi")).unionByName(copies)
-    roots = components(links).select(F.col("node").alias("id"), F.col("root"))
+    with scratch(docs.sparkSession):
+        sigs = pinned(signatures(rows)).where("id is not null")
+        distinct = pinned(sigs.groupBy("k1", "k2").agg(F.min_by(F.struct("size", "bands"), "id").alias("at"), F.min("id").alias("rep"), F.max("id").alias("last")).select("k1", "k2", "at.size", "at.bands", "rep", "last"))
+        shared = distinct.where("rep <> last").select("k1", "k2", "rep")
+        copies = sigs.select("id", "k1", "k2").join(bounded(pinned(shared)), ["k1", "k2"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+        links = linked(distinct.select(F.col("rep").alias("id"), "size", "bands"), lambda need: rows.where("id is not null").join(need, "id", "left_semi")).unionByName(copies)
+        roots = pinned(components(links).select(F.col("node").alias("id"), F.col("root")), outlives=True)
     return rows.select("id").join(roots, "id", "left").select(F.col("id").alias(id_col), F.coalesce("root", "id").alias("class_id"), F.coalesce(F.col("root") == F.col("id"), F.lit(True)).alias("is_kept"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class, in docs' own columns. Of rows that share an id one stays; rows with a null id all stay."""
-    gone = classes(docs, id_col, text_col).where("not is_kept").select(F.col(id_col).alias("_gone")).distinct()
-    gone = bounded(pinned(gone))
-    left = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    again = pinned(left.groupBy(id_col).count().where(f"count > 1 and `{id_col}` is not null").select(F.col(id_col).alias("_again")))
-    if not again.limit(1).count():
+    gone, again, key = unused("gone", docs), unused("again", docs), F.col(f"`{id_col}`")
+    with scratch(docs.sparkSession):
+        out = pinned(classes(docs, id_col, text_col).where("not is_kept").select(F.col(id_col).alias(gone)).distinct(), outlives=True)
+        left = docs.join(bounded(out), key == F.col(gone), "left_anti")
+        twice = pinned(left.where(key.isNotNull()).groupBy(key.alias(again)).agg(F.count("*").alias("n")).where("n > 1").select(again), outlives=True)
+    if not twice.limit(1).count():
         return left
-    again = bounded(again)
-    pick = left.join(again, F.col(id_col) == F.col("_again"), "left_semi").dropDuplicates([id_col])
-    return left.join(again, F.col(id_col) == F.col("_again"), "left_anti").unionByName(pick)
+    pick = left.join(bounded(twice), key == F.col(again), "left_semi").dropDuplicates([id_col])
+    return left.join(bounded(twice), key == F.col(again), "left_anti").unionByName(pick).select(*own(docs))
