@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import zipfile
@@ -27,6 +28,22 @@ def ship(spark: SparkSession) -> None:
     _SENT.add(sc.applicationId)
 
 
+def _give_back() -> None:
+    """Returns what a Python worker has freed to the system, so that a reused worker does not keep it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library keeps its own way
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def whole(batches):
+        yield from run(batches)
+        _give_back()
+
+    return df.mapInArrow(whole, schema)
