@@ -197,14 +197,25 @@ def common_words(mine: str, other: str) -> tuple[int, int]:
     return n, end
 
 
+def words_from(text: Column, pos: Column, left: Column, reach: int = 2_000) -> Column:
+    """The first RUN words after a place of a text, or of its reverse before it; read from so many characters if they hold the words, else from all."""
+    ahead = rf"^(?:[\x20\x09-\x0D]*{WORD}){{0,{RUN}}}"
+    part = lambda n: F.when(left, F.reverse(text.substr(F.greatest(pos - n + 1, F.lit(1)), F.least(n, pos)))).otherwise(text.substr(pos + 1, n))
+    near, whole = part(F.lit(reach)), F.regexp_extract(part(F.length(text)), ahead, 0)
+    got = F.regexp_extract(near, ahead, 0)
+    # words stand behind those that were read, or nothing at all
+    enough = (F.length(near) < reach) | near.substr(F.length(got) + 1, F.lit(reach)).rlike(rf"^[\x20\x09-\x0D]+{WORD}")
+    return F.when(enough, got).otherwise(whole)
+
+
 def extended(spans: DataFrame, rows: DataFrame) -> DataFrame:
     """spans with start, end and n_words moved out over the words that stand alike around `there`, the edge in another text."""
-    ahead = rf"^(?:[\x20\x09-\x0D]*{WORD}){{0,{RUN}}}"
     sides = spans.select("rid", "own", "span", F.explode(F.array(F.struct(F.lit(True).alias("left"), F.col("start").alias("pos"), F.col("head.r").alias("r"), F.col("head.s").alias("p")), F.struct(F.lit(False).alias("left"), F.col("end").alias("pos"), F.col("tail.r").alias("r"), F.col("tail.e").alias("p")))).alias("x")).select("rid", "own", "span", "x.*")
     sides = pinned(sides)
-    asked = pinned(sides.select("rid", "pos", "left").union(sides.select("r", "p", "left")).distinct().toDF("q", "pos", "left"))
-    text = F.when(F.col("left"), F.reverse(F.expr("substring(text, 1, int(pos))"))).otherwise(F.expr("substring(text, int(pos) + 1)"))
-    seen = pinned(rows.select("rid", "text").join(bounded(asked), F.col("rid") == F.col("q")).groupBy("rid", "pos", "left").agg(F.first(F.regexp_extract(text, ahead, 0)).alias("words")))
+    asked = sides.select("rid", "pos", "left").union(sides.select("r", "p", "left")).groupBy("rid").agg(F.collect_set(F.struct("pos", "left")).alias("asked"))  # a text's own edges
+    # each asked text crosses the shuffle once, at any size, with all its edges
+    texts = rows.select("rid", "text").hint("shuffle_hash").join(asked.hint("shuffle_hash"), "rid")
+    seen = pinned(texts.select("rid", "text", F.explode("asked").alias("x")).select("rid", "x.pos", "x.left", words_from(F.col("text"), F.col("x.pos").cast("int"), F.col("x.left")).alias("words")).dropDuplicates(["rid", "pos", "left"]))
     both = sides.join(seen.withColumnRenamed("words", "mine"), ["rid", "pos", "left"]).join(seen.select(F.col("rid").alias("r"), F.col("pos").alias("p"), "left", F.col("words").alias("other")), ["r", "p", "left"])
 
     def run(batches):
