@@ -7,7 +7,8 @@ before it. Two tokens may follow each other if the merges leave their joined byt
 So each shared prefix is encoded once, and a word's encoding is read back along its states.
 
 Defined cases: a null or empty text has no tokens; a special token's string in a text is that token
-(as the library does by default); rows repeat as they come.
+(as the library does by default); a very long text is encoded whole; rows repeat as they come; an
+empty table gives no rows; extra columns are ignored by digests() and kept by encoded().
 """
 
 from __future__ import annotations
@@ -195,8 +196,9 @@ def encoder(path: str) -> Encoder:
 
 
 def encoded(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """docs with _ids (array<int>) and _decoded (string) for each row; other columns pass by."""
-    name = text_col
+    """docs with the text decoded from its tokens, n_tokens and ids (array<int>) behind the other columns; columns of these two names give way."""
+    name, others = text_col, [c for c in docs.columns if c not in (text_col, "ids", "n_tokens")]
+    ticked = lambda c: "`%s`" % c.replace("`", "``")
 
     def run(batches):
         enc = encoder(path)
@@ -205,9 +207,12 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
             for part in pieces(batch, (at,), TRIE_CHARS):
                 texts = [t or "" for t in part.column(at).to_pylist()]
                 ids = [[int(i) for c in chunks for i in c[0].split(",")] for chunks in enc.coded(texts)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32())), pa.array([enc.decode(x) for x in ids], pa.string())], names=[*part.schema.names, "_ids", "_decoded"])
+                rest = [c for i, c in enumerate(part.columns) if i != at]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array([enc.decode(x) for x in ids], pa.string()), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=[*[n for i, n in enumerate(part.schema.names) if i != at], name, "n_tokens", "ids"])
+        enc.known = {}  # the worker may serve other operators next
 
-    return map_arrow(docs, run, ", ".join(f"`{n}` {k}" for n, k in docs.dtypes) + ", _ids array<int>, _decoded string")
+    kinds = dict(docs.dtypes)
+    return map_arrow(docs.select(*map(ticked, others), ticked(name)), run, ", ".join(f"{ticked(c)} {kinds[c]}" for c in others) + f", {ticked(name)} string, n_tokens long, ids array<int>")
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,7 +8,9 @@ proportion, and the score that proportion times its share among the documents' w
 
 Trigram counts come from all rows that are learned from; scoring sees text alone. Defined cases: a
 null text or one without a letter is "und" with score 0, and so is every text if nothing could be
-learned; rows without a label are not learned from; repeated rows give the same answer each.
+learned; rows without a label are not learned from; repeated rows give the same answer each; of tied
+languages the first by name is predicted; a very long text is read whole; an empty table gives no
+rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
 from .common import Words, held_out, pieces
-from .ngrams import collected, counted, distinct, grams, lookup, word_texts
+from .ngrams import collected, counted, distinct, grams, lookup, tallied, word_texts
 
 ORDER, SMOOTHING = 3, 0.05
 STEPS, PENALTY = 8, 0.5
@@ -95,7 +97,7 @@ class Model:
 
 
 def learn(docs: DataFrame, text_col: str = "text", label_col: str = "lang") -> Model:
-    return Model({k: v for k, v in collected(counted(docs.where(F.col(label_col).isNotNull()), ORDER, text_col, label_col)).items()})
+    return Model({k: v for k, v in collected(counted(docs.where(F.col(label_col).isNotNull()), lambda t, l: tallied(t, l, ORDER), text_col, label_col)).items()})
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

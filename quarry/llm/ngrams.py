@@ -7,13 +7,15 @@ merges rare grams). Distinct words of a batch are counted once with their freque
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
-from .common import Words, pieces, pinned, signed
+from .common import Words, pieces, pinned, scratch, signed
 
 BEGIN, END = np.uint64(1), np.uint64(2)
 
@@ -54,24 +56,29 @@ def word_texts(w: Words, first: np.ndarray) -> list[str]:
     return [w.word(i).decode("utf-8", "replace") for i in first.tolist()]
 
 
-def counted(docs: DataFrame, order: int, text_col: str = "text", label_col: str = "lang") -> DataFrame:
-    """(label, gram, n) over all rows of docs with a label; each task adds up its own before the shuffle."""
+def tallied(texts: list[str], labels: np.ndarray, order: int):
+    """(label, grams, n): the n-grams inside the lower-cased words of the texts of each label."""
+    w = Words([t.lower() for t in texts])
+    if not len(w.hash):
+        return
+    first, at = distinct(w.hash)
+    keys, word = grams(word_texts(w, first), order)
+    for label in set(labels):
+        n = np.bincount(at[(labels == label)[w.text_of]], minlength=len(first))
+        got = n[word] > 0
+        yield label, *summed(keys[got], n[word][got])
+
+
+def counted(docs: DataFrame, tally: Callable, text_col: str = "text", label_col: str = "lang") -> DataFrame:
+    """(label, gram, n) over all rows of docs, as tally(texts, labels) finds them; each task adds up its own before the shuffle."""
 
     def run(batches):
         held: dict[str, list] = {}
         for batch in batches:
             for part in pieces(batch, (0,)):
                 labels = np.array([x or "" for x in part.column(1).to_pylist()], object)
-                w = Words([(t or "").lower() for t in part.column(0).to_pylist()])
-                if not len(w.hash):
-                    continue
-                first, at = distinct(w.hash)
-                keys, word = grams(word_texts(w, first), order)
-                for label in set(labels):
-                    mine = labels == label
-                    n = np.bincount(at[mine[w.text_of]], minlength=len(first))
-                    got = n[word] > 0
-                    held.setdefault(label, []).append(summed(keys[got], n[word][got]))
+                for label, keys, n in tally([t or "" for t in part.column(0).to_pylist()], labels):
+                    held.setdefault(label, []).append((keys, n))
                     if len(held[label]) > 8:
                         held[label] = [summed(np.concatenate([k for k, _ in held[label]]), np.concatenate([c for _, c in held[label]]))]
         for label, parts in held.items():
@@ -85,7 +92,8 @@ def counted(docs: DataFrame, order: int, text_col: str = "text", label_col: str
 
 def collected(counts: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """{label: (grams, n)}: all grams, sorted, whatever the size of the corpus."""
-    t = pinned(counts).toArrow()
+    with scratch(counts.sparkSession):
+        t = pinned(counts).toArrow()
     labels = t.column("label").combine_chunks().dictionary_encode()
     keys, n = t.column("gram").to_numpy().view(np.uint64), t.column("n").to_numpy()
     order = np.lexsort((keys, labels.indices.to_numpy()))

@@ -1,12 +1,16 @@
 """Quality rules: word counts and repeats, and perplexity bands of an n-gram model.
 
-The model is a modified Kneser-Ney model of the characters inside words, order 4, for each
-language; Spark counts the n-grams of all documents, and the probabilities stand in sorted hash
-arrays. A document's perplexity (per character) must lie between its language's lower and upper
-band, which are set from quartiles over all its documents; outside the band it is rejected.
-
-Defined cases: a null text has no words and fails; a null language is a language of its own;
-repeated rows give the same result each; an empty table gives an empty result.
+The model is a modified Kneser-Ney model of the characters of the text, order 4, for each language;
+a character's context goes on over the space before a word, case is kept, and any white space counts
+as one space. Spark counts the n-grams of all documents, and the probabilities stand in sorted hash
+arrays. A document's perplexity (per character) must lie between its language's lower and upper band,
+which lie REACH interquartile ranges outside the quartiles of the documents that pass the base rules;
+outside the band it is rejected.
+
+Defined cases: a null or empty text has no words and fails; a null language is a language of its own;
+rows that repeat or share an id are judged each, with the same result; a perplexity on a band's edge
+is inside; very long texts are read whole; an empty table gives an empty result; extra columns are
+ignored by judge() and kept by keep().
 """
 
 from __future__ import annotations
@@ -17,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
-from .common import Words, mix, per_text, pieces, pinned
-from .ngrams import collected, counted, distinct, grams, lookup, summed, word_texts
+from .common import Words, bounded, mix, own, per_text, pieces, pinned, scratch, unused
+from .ngrams import collected, counted, distinct, lookup, summed, word_texts
 
-ORDER = 4
-#: The bands lie so many interquartile ranges (at least LEAST_RANGE nats each) below the lower and above the upper quartile of log-perplexity.
-REACH, LEAST_RANGE = 6.0, 0.1
+ORDER, SPACE = 4, np.uint64(32)
+#: The bands lie so many interquartile ranges (of LEAST_RANGE nats at least, for a table of equal texts) outside the quartiles of log-perplexity.
+REACH, LEAST_RANGE = 3.0, 0.005
 #: Fixed values of the base rules.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 _SYMBOL = np.zeros(256, bool)
@@ -30,6 +34,15 @@ _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 _B = np.uint64(16)
 
 
+def discounts(n: np.ndarray) -> np.ndarray:
+    """What is taken from a count of 0, 1, 2, and 3 or more, from how many grams have 1 to 4; halves where a table lacks one of these."""
+    one, two, three, four = (int((n == i).sum()) for i in (1, 2, 3, 4))
+    if not (one and two and three and four):
+        return np.array([0, 0.5, 1.0, 1.5])
+    y = one / (one + 2 * two)
+    return np.clip([0, 1 - 2 * y * two / one, 2 - 3 * y * three / two, 3 - 4 * y * four / three], 0, [0, 1, 2, 3])
+
+
 class Kneser:
     """Modified Kneser-Ney probabilities of packed n-grams, from counts of the highest order alone."""
 
@@ -38,21 +51,15 @@ class Kneser:
         self.tables = []
         levels = {order: (keys, counts)}
         for k in range(order - 1, 0, -1):
-            up, n = levels[k + 1]
-            mask = np.uint64((1 << (16 * k)) - 1)
-            low = up & mask
-            # a gram counts by the different characters before it; one that begins a word by its own count
-            begins = (low >> np.uint64(16 * (k - 1))) == np.uint64(1)
-            levels[k] = summed(low, np.where(begins, n, 1))
+            up, mask = levels[k + 1][0], np.uint64((1 << (16 * k)) - 1)
+            # a gram counts by the different characters before it
+            levels[k] = summed(up & mask, np.ones(len(up), np.int64))
         chars = max(2, len(levels[1][0]))
         self.uniform = float(np.log(1.0 / (chars + 1)))
         lower = None
         for k in range(1, order + 1):
             grams_k, n = levels[k]
-            ones, twos, threes, fours = (max(1, int((n == i).sum())) for i in (1, 2, 3, 4))
-            y = ones / (ones + 2 * twos)
-            cut = np.clip([0, 1 - 2 * y * twos / ones, 2 - 3 * y * threes / twos, 3 - 4 * y * fours / threes], 0.05, [1, 0.95, 1.9, 2.85])
-            cut[0] = 0
+            cut = discounts(n)
             head, at = np.unique(grams_k >> _B, return_inverse=True)
             d = cut[np.minimum(n, 3)]
             total = np.bincount(at, weights=n)
@@ -86,8 +93,49 @@ class Kneser:
         return out
 
 
+class Characters:
+    """The 4-grams of some texts: those that lie inside a distinct word with the space before and after it, and those that cross into a word from the one before."""
+
+    def __init__(self, w: Words):
+        first, self.at = distinct(w.hash)
+        words = word_texts(w, first)
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        flat = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) & np.uint64(0xFFFF)
+        start = np.cumsum(length + 1) - length
+        ends = np.repeat(start + 1, length - 1) + np.arange(int((length - 1).sum())) - np.repeat(np.cumsum(length - 1) - (length - 1), length - 1) + 1
+        self.word = np.repeat(np.arange(len(words)), length - 1)
+        self.inside = (flat[ends - 3] << np.uint64(48)) | (flat[ends - 2] << _B * np.uint64(2)) | (flat[ends - 1] << _B) | flat[ends]
+        tail = (flat[start + length - 2] << _B) | flat[start + length - 1]
+        head = (flat[start] << _B) | flat[start + 1]
+        before = np.r_[np.uint64(0), tail[self.at[:-1]]]
+        before[np.r_[True, w.text_of[1:] != w.text_of[:-1]]] = (SPACE << _B) | SPACE
+        # the two characters before the space and the two after it, of each word that stands in a text
+        self.cross = (before << np.uint64(32)) | head[self.at]
+        self.size = length + 1
+
+    @staticmethod
+    def crossing(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The 4-grams that end at the first and at the second character after the space."""
+        head, second = pairs & np.uint64(0xFFFFFFFF), (pairs >> np.uint64(32)) & np.uint64(0xFFFF)
+        return (pairs >> np.uint64(32) << np.uint64(32)) | (SPACE << _B) | (head >> _B), (second << np.uint64(48)) | (SPACE << np.uint64(32)) | head
+
+
+def characters(texts: list[str], labels: np.ndarray):
+    """(label, grams, n) of the texts of each label."""
+    w = Words(texts)
+    if not len(w.hash):
+        return
+    c = Characters(w)
+    for label in set(labels):
+        mine = (labels == label)[w.text_of]
+        n = np.bincount(c.at[mine], minlength=len(c.size))[c.word]
+        pairs, times = np.unique(c.cross[mine], return_counts=True)
+        keys, counts = np.concatenate([c.inside, *c.crossing(pairs)]), np.concatenate([n, times, times])
+        yield label, *summed(keys[counts > 0], counts[counts > 0])
+
+
 def learn(docs: DataFrame, text_col: str = "text", label_col: str = "lang") -> dict[str, Kneser]:
-    return {k: Kneser(*v) for k, v in collected(counted(docs, ORDER, text_col, label_col)).items() if len(v[0])}
+    return {k: Kneser(*v) for k, v in collected(counted(docs, characters, text_col, label_col)).items() if len(v[0])}
 
 
 def measured(docs: DataFrame, models: dict[str, Kneser], id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
@@ -125,20 +173,18 @@ def measured(docs: DataFrame, models: dict[str, Kneser], id_col: str = "doc_id",
                         hit[whole[twice] + k] = True
                     repeat = per_text(hit, w.text_of, n)
                 lp = np.full(n, np.nan)
-                low = Words([t.lower() for t in part])
-                if len(low.hash):
-                    first, at = distinct(low.hash)
-                    words = word_texts(low, first)
-                    size = np.fromiter(map(len, words), np.int64, len(words)) + 1
-                    keys, word = grams(words, ORDER)
+                if len(w.hash):
+                    c = Characters(w)
                     for lang in set(langs) & ms.keys():
-                        mine = np.flatnonzero((langs == lang)[low.text_of])
-                        use = np.zeros(len(words), bool)
-                        use[at[mine]] = True
-                        pick = use[word]
-                        per_word = np.bincount(word[pick], weights=ms[lang].logp(keys[pick]), minlength=len(words))
-                        t = low.text_of[mine]
-                        total, length = per_text(per_word[at[mine]], t, n), per_text(size[at[mine]], t, n)
+                        mine = np.flatnonzero((langs == lang)[w.text_of])
+                        use = np.zeros(len(c.size), bool)
+                        use[c.at[mine]] = True
+                        pick = use[c.word]
+                        per_word = np.bincount(c.word[pick], weights=ms[lang].logp(c.inside[pick]), minlength=len(c.size))
+                        pairs, of = np.unique(c.cross[mine], return_inverse=True)
+                        per_pair = sum(ms[lang].logp(g) for g in c.crossing(pairs))
+                        t = w.text_of[mine]
+                        total, length = per_text(per_word[c.at[mine]] + per_pair[of], t, n), per_text(c.size[c.at[mine]], t, n)
                         np.divide(-total, length, out=lp, where=length > 0)
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0), rows.column(2), *[pa.array(np.asarray(x).astype(np.int64)) for x in (w.count, chars, symbols[w.text_end] - symbols[w.text_start], dup, repeat)], pa.array(lp, from_pandas=True)],
@@ -156,13 +202,15 @@ def bands(rows: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
-    """id, the base measures, base_failed, kept and log_ppl of every row. Extra columns are ignored."""
+    """id, the base measures, base_failed, kept and log_ppl of every row."""
     models = learn(docs, text_col, label_col)
-    rows = pinned(measured(docs, models, id_col, text_col, label_col))
-    found = rows.join(F.broadcast(bands(rows)) if len(models) <= 100_000 else bands(rows), F.col("lang") == F.col("band_lang"), "left")
+    with scratch(docs.sparkSession):
+        rows = pinned(measured(docs, models, id_col, text_col, label_col), outlives=True)
+        limits = pinned(bands(rows), outlives=True)
+    found = rows.join(bounded(limits), F.col("lang") == F.col("band_lang"), "left")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     inside = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(True))
-    return found.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & inside).alias("kept"), "log_ppl", F.col("lang").alias("_lang"))
+    return found.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & inside).alias("kept"), "log_ppl")
 
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
@@ -170,12 +218,10 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_
 
     The verdict is carried by row content (id, text, language), so rows that share an id are judged each.
     """
-    models = learn(docs, text_col, label_col)
-    key = F.sha2(F.concat_ws("\x01", F.coalesce(F.col(id_col).cast("string"), F.lit("\x02")), F.coalesce(F.col(label_col).cast("string"), F.lit("\x02")), F.coalesce(F.col(text_col), F.lit(""))), 256)
-    keyed = docs.select(key.alias("key"), F.col(text_col).alias("text"), F.col(label_col).alias("lang"))
-    rows = pinned(measured(keyed, models, "key", "text", "lang"))
-    limits = bands(rows)
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    inside = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(True))
-    good = rows.join(F.broadcast(limits) if len(models) <= 100_000 else limits, F.col("lang") == F.col("band_lang"), "left").where(~failed & inside).select(F.col("id").alias("_key")).distinct()
-    return docs.withColumn("_key", key).join(good, "_key", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = unused("key", docs)
+    at = lambda c: F.col(f"`{c}`")
+    key = F.sha2(F.concat_ws("\x01", F.coalesce(at(id_col).cast("string"), F.lit("\x02")), F.coalesce(at(label_col).cast("string"), F.lit("\x02")), F.coalesce(at(text_col), F.lit(""))), 256)
+    with scratch(docs.sparkSession):
+        good = judge(docs.select(key.alias("key"), at(text_col).alias("text"), at(label_col).alias("lang")), "key", "text", "lang").where("kept")
+        good = pinned(good.select(F.col("key").alias(name)).distinct(), outlives=True)
+    return docs.withColumn(name, key).join(bounded(good), name, "left_semi").select(*own(docs))

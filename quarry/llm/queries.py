@@ -35,7 +35,7 @@ def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents")).drop("_lang")
+    return quality.judge(table(spark, sf_dir, "documents"))
 
 
 def op7_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:

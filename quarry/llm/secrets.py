@@ -5,7 +5,9 @@ documents. A string that many owners hold is a copied example; one that few hold
 random is taken for a live credential. DataFrame functions alone; nothing but short spans is shuffled.
 
 Defined cases: a null text has no spans; a null owner or repository counts as one owner or
-repository of its own; repeated rows give the same result each; positions are code points, end exclusive.
+repository of its own; repeated rows give the same result each; of candidates of one start the kinds
+come in their listed order; very long texts are searched whole; an empty table gives no rows; extra
+columns are ignored by scan() and kept by redact(); positions are code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pinned
+from .common import bounded, own, pinned, scratch
 
 #: The base kinds in their order, then the kinds that the method adds: (kind, pattern, group that holds the value, its least length).
 BASE = [
@@ -52,16 +54,16 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["k"], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = "lang") -> DataFrame:
-    """(id, key, owner, repo, base, added): the spans of each row, sorted by start, then kind. key stands for the row's content."""
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = "lang", carried: tuple[str, ...] = ()) -> DataFrame:
+    """(id, owner, repo, n_chars, base, added, carried): the spans of each row, sorted by start, then kind."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     owner = F.coalesce(F.col(owner_col).cast("string"), F.lit(""))
     repo = F.concat_ws("/", owner, F.coalesce(F.col(repo_col).cast("string"), F.lit(""))) if repo_col else owner
-    rows = docs.select(F.col(id_col).alias("id"), owner.alias("owner"), repo.alias("repo"), text.alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), owner.alias("owner"), repo.alias("repo"), text.alias("text"), *carried)
     kinds = [_found(F.col("text"), i, *x).alias(f"k{i}") for i, x in enumerate(BASE + ADDED)]
-    rows = rows.select("id", "owner", "repo", F.length("text").alias("n_chars"), *kinds)
+    rows = rows.select("id", "owner", "repo", F.length("text").alias("n_chars"), *kinds, *carried)
     of = lambda a, b: F.array_sort(F.concat(*[F.col(f"k{i}") for i in range(a, b)]))
-    return rows.select("id", "owner", "repo", "n_chars", of(0, len(BASE)).alias("base"), of(len(BASE), len(BASE + ADDED)).alias("added"))
+    return rows.select("id", "owner", "repo", "n_chars", of(0, len(BASE)).alias("base"), of(len(BASE), len(BASE + ADDED)).alias("added"), *carried)
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -108,35 +110,38 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
     """docs with every base span and every live added span replaced in its text: by [SECRET] if judged live, else by [EXAMPLE].
 
     Overlapping spans are replaced as one. Rows without candidates pass by unchanged and unshuffled;
-    a column named n_chars follows the text. The columns stay as they are.
+    a column named n_chars follows the text. The columns stay as they are, whatever their names.
     """
-    cols = docs.columns
-    found = candidates(docs, id_col, text_col, owner_col, repo_col)
-    pin = pinned(found.where((F.size("base") > 0) | (F.size("added") > 0)))
+    at = lambda c: F.col("row.`%s`" % c.replace("`", "``"))
+    rows = docs.select(F.struct(*own(docs)).alias("row"))
+    hit = F.lit(False)
+    for _, pattern, _, _ in BASE + ADDED:
+        hit = hit | F.coalesce(F.regexp_like(at(text_col), F.lit(pattern)), F.lit(False))
+    named = [at(id_col).alias("id"), at(text_col).alias("text"), at(owner_col).alias("owner"), *([at(repo_col).alias("repo")] if repo_col else [])]
+    tagged = rows.where(hit).select("row", *named)
+    ask = ("id", "text", "owner", "repo" if repo_col else None)
+    content = F.sha2(F.to_json(F.struct("id", "owner", "repo", "base", "added")), 256)
     is_live = lambda x: F.array_contains("live", F.sha2(x["v"], 256))
-    marks = judged(pin).select("id", "owner", "repo", "base", "added", F.transform(F.array_sort(F.concat("base", F.filter("added", is_live))), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), is_live(x).alias("l"))).alias("marks"))
+    none = F.array().cast("array<struct<s:int,e:int,l:boolean>>")
     # merge overlapping spans
+    last = lambda acc: F.try_element_at(acc, F.lit(-1))
     merged = F.aggregate(
-        "marks", F.array().cast("array<struct<s:int,e:int,l:boolean>>"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["e"] > x["s"]), F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["s"].alias("s"), F.greatest(F.try_element_at(acc, F.lit(-1))["e"], x["e"]).alias("e"), (F.try_element_at(acc, F.lit(-1))["l"] | x["l"]).alias("l"))))).otherwise(F.concat(acc, F.array(x))),
+        "marks", none,
+        lambda acc, x: F.when((F.size(acc) > 0) & (last(acc)["e"] > x["s"]), F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last(acc)["s"].alias("s"), F.greatest(last(acc)["e"], x["e"]).alias("e"), (last(acc)["l"] | x["l"]).alias("l"))))).otherwise(F.concat(acc, F.array(x))),
     )
-    marks = marks.select("id", F.sha2(F.to_json(F.struct("id", "owner", "repo", "base", "added")), 256).alias("_key"), merged.alias("_marks")).dropDuplicates(["_key"]).drop("id")
-    text = F.coalesce(F.col("_text"), F.lit(""))
-    owner = F.coalesce(F.col(owner_col).cast("string"), F.lit(""))
-    hit = F.lit(False)
-    for _, pattern, _, _ in BASE + ADDED:
-        hit = hit | F.coalesce(F.regexp_like(F.col(text_col), F.lit(pattern)), F.lit(False))
-    tagged = docs.where(hit)
-    kinds = [_found(F.coalesce(F.col(text_col), F.lit("")), i, *x) for i, x in enumerate(BASE + ADDED)]
-    repo = F.concat_ws("/", owner, F.coalesce(F.col(repo_col).cast("string"), F.lit(""))) if repo_col else owner
-    keyed = tagged.select(*[F.col(f"`{c}`") for c in cols], F.sha2(F.to_json(F.struct(F.col(id_col).alias("id"), owner.alias("owner"), repo.alias("repo"), F.array_sort(F.concat(*kinds[: len(BASE)])).alias("base"), F.array_sort(F.concat(*kinds[len(BASE) :])).alias("added"))), 256).alias("_key"))
-    joined = keyed.join(marks, "_key", "left").withColumn("_text", F.col(text_col)).withColumn("_marks", F.coalesce("_marks", F.array().cast("array<struct<s:int,e:int,l:boolean>>")))
+    with scratch(docs.sparkSession):
+        found = pinned(candidates(tagged, *ask).where((F.size("base") > 0) | (F.size("added") > 0)))
+        marks = judged(found).select("id", "owner", "repo", "base", "added", F.transform(F.array_sort(F.concat("base", F.filter("added", is_live))), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), is_live(x).alias("l"))).alias("marks"))
+        marks = pinned(marks.select(content.alias("key"), merged.alias("marks")).dropDuplicates(["key"]), outlives=True)
+    text = F.coalesce(at(text_col), F.lit(""))
+    keyed = candidates(tagged, *ask, carried=("row",)).select("row", content.alias("key"))
+    joined = keyed.join(bounded(marks), "key", "left").select("row", F.coalesce("marks", none).alias("marks"))
     cleaned = F.aggregate(
-        F.col("_marks"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        F.col("marks"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, x: F.struct(x["e"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.when(x["l"], F.lit("[SECRET]")).otherwise(F.lit("[EXAMPLE]"))).alias("out")),
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    done = joined.withColumn("_done", F.when(F.size("_marks") > 0, cleaned).otherwise(F.col("_text")))
+    done = joined.select("row", "marks", F.when(F.size("marks") > 0, cleaned).otherwise(at(text_col)).alias("done"))
     kinds_of = dict(docs.dtypes)
-    out = [F.col("_done").alias(c) if c == text_col else F.when(F.size("_marks") > 0, F.length("_done").cast(kinds_of[c])).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in cols]
-    return done.select(*out).unionByName(docs.where(~hit))
+    value = lambda c: F.col("done") if c == text_col else F.when(F.size("marks") > 0, F.length("done").cast(kinds_of[c])).otherwise(at(c)) if c == "n_chars" else at(c)
+    return done.select(*[value(c).alias(c) for c in docs.columns]).unionByName(rows.where(~hit).select(*[at(c).alias(c) for c in docs.columns]))

@@ -50,7 +50,16 @@ def test_store_of_words_may_overflow(library):
         bpe.KEPT_WORDS = old
 
 
-def test_odd_rows(odd, empty):
-    assert bpe.digests(odd, PATH).count() == odd.count() and bpe.digests(empty, PATH).count() == 0
-    out = bpe.encoded(odd, PATH)
-    assert all((r["text"] or "") == r["_decoded"] for r in out.collect())
+def test_odd_rows(odd, empty, library):
+    assert bpe.digests(odd, PATH).count() == odd.count() and bpe.digests(empty, PATH).count() == 0 and bpe.encoded(empty, PATH).count() == 0
+    out = bpe.encoded(odd, PATH).collect()
+    want = sorted((r["text"] or "", str(r["doc_id"])) for r in odd.collect())
+    assert sorted((r["text"], str(r["doc_id"])) for r in out) == want
+    assert all(r["ids"] == library.encode(r["text"], add_special_tokens=False).ids and r["n_tokens"] == len(r["ids"]) for r in out if len(r["text"]) < 1000)
+
+
+def test_columns_of_any_name(spark):
+    names = "_key _id _text _marks _done _gone _again _draw _ids _decoded".split()
+    df = spark.createDataFrame([(1, "a b", *names, [7])], "doc_id long, text string, " + ", ".join(f"{c} string" for c in names) + ", ids array<int>")
+    r = bpe.encoded(df, PATH).first()
+    assert r["text"] == "a b" and r["n_tokens"] == len(r["ids"]) and r["ids"] != [7] and [r[c] for c in names] == names

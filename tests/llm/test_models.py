@@ -1,6 +1,7 @@
 """Language identification, quality rules and LM scoring."""
 
 import collections
+import functools
 import math
 import random
 import re
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 
 from quarry.llm import gru, langid, lm, quality
-from quarry.llm.ngrams import collected, grams
+from quarry.llm.ngrams import collected, grams, tallied
 
 from .conftest import rows
 
@@ -79,16 +80,82 @@ def test_quality_of_odd_rows(odd, empty):
     assert quality.keep(odd).columns == odd.columns
 
 
-def test_kneser_ney_probabilities_sum_to_one():
+def plain_kneser(texts):
+    """Modified Kneser-Ney of order 4 by its definition: P(character | context) from dictionaries of strings."""
+    high = collections.Counter()
+    for t in texts:
+        s = "   " + " ".join(re.findall(r"[^\x20\x09-\x0D]+", t)) + " "
+        high.update(s[i : i + 4] for i in range(len(s) - 3))
+    counts = {4: high}
+    for k in (3, 2, 1):
+        counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
+    d = {}
+    for k, c in counts.items():
+        n1, n2, n3, n4 = (sum(v == i for v in c.values()) for i in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 else 0
+        d[k] = [0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3] if min(n1, n2, n3, n4) else [0, 0.5, 1, 1.5]
+    uniform = 1 / (len(counts[1]) + 1)
+
+    def p(gram):
+        if not gram:
+            return uniform
+        c, k = counts[len(gram)], len(gram)
+        after = {g: n for g, n in c.items() if g[:-1] == gram[:-1]}
+        total = sum(after.values())
+        if not total:
+            return p(gram[1:])
+        return max(0, c[gram] - d[k][min(c[gram], 3)]) / total + sum(d[k][min(n, 3)] for n in after.values()) / total * p(gram[1:])
+
+    return p
+
+
+def test_kneser_ney_is_that_of_the_definition():
     rng = random.Random(0)
-    words = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 6))) for _ in range(400)]
-    keys, n = np.unique(grams(words, 4)[0], return_counts=True)
-    model = quality.Kneser(keys, n.astype(np.int64))
-    chars = np.unique(keys & np.uint64(0xFFFF))
-    for head in [*np.unique(keys >> np.uint64(16))[:30], np.uint64(0xFFFFFFFFFFFF)]:
-        total = np.exp(model.logp((head << np.uint64(16)) | chars)).sum()
-        unseen = math.exp(model.logp(np.array([(head << np.uint64(16)) | np.uint64(0x7777)]))[0])
-        assert total + unseen == pytest.approx(1, abs=1e-3)
+    texts = [" ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6))) for _ in range(60)) for _ in range(12)]
+    got = collections.Counter()
+    for label, keys, n in quality.characters(texts, np.array(["x"] * len(texts), object)):
+        got.update(dict(zip(keys.tolist(), n.tolist())))
+    keys = np.array(sorted(got), np.uint64)
+    model, p = quality.Kneser(keys, np.array([got[int(k)] for k in keys])), plain_kneser(texts)
+    packed = lambda g: sum(ord(c) << 16 * i for i, c in enumerate(reversed(g)))
+    for g in ["   a", "ab c", "b cd", " cde", "cde ", " a b", "zzzz", "abcz", "z ab", *["".join(rng.choice("abcdeé ") for _ in range(4)) for _ in range(60)]]:
+        assert model.logp(np.array([packed(g)], np.uint64))[0] == pytest.approx(math.log(p(g)), abs=2e-5), g
+    for head in np.unique(keys >> np.uint64(16))[:30]:
+        chars = np.unique(keys & np.uint64(0xFFFF))
+        assert np.exp(model.logp((head << np.uint64(16)) | chars)).sum() + math.exp(model.logp(np.array([(head << np.uint64(16)) | np.uint64(0x7777)]))[0]) == pytest.approx(1, abs=1e-3)
+
+
+def test_perplexity_and_bands_are_those_of_the_definition(docs):
+    data = corpus(150)
+    rng = random.Random(3)
+    dull = " ".join("a" * k for k in range(30, 100))
+    noise = " ".join("".join(chr(rng.randrange(0x4E00, 0x5000)) for _ in range(5)) for _ in range(80))
+    data += [(i, t, "en", "s", 0, "x", 1, "y", "z") for i, t in ((900, dull), (901, noise), (902, "the of"))]
+    got = {r["doc_id"]: r for r in quality.judge(docs(data)).collect()}
+    p = functools.cache(plain_kneser([r[1] for r in data if r[2] == "en"]))
+    for i in (0, 3, 900, 901):
+        s = "   " + {r[0]: r[1] for r in data}[i] + " "
+        assert got[i]["log_ppl"] == pytest.approx(-sum(math.log(p(s[k : k + 4])) for k in range(len(s) - 3)) / (len(s) - 3), abs=1e-4)
+    lang = {r[0]: r[2] for r in data}
+    for x in PARTS:
+        held = sorted(r["log_ppl"] for i, r in got.items() if lang[i] == x and not r["base_failed"])
+        q = [held[max(0, math.ceil(len(held) * f) - 1)] for f in (0.25, 0.75)]
+        reach = quality.REACH * max(q[1] - q[0], quality.LEAST_RANGE)
+        for i, r in got.items():
+            if lang[i] == x:
+                assert r["kept"] == (not r["base_failed"] and q[0] - reach <= r["log_ppl"] <= q[1] + reach)
+    assert not any(got[i]["kept"] for i in (900, 901, 902))
+    assert sum(r["kept"] for i, r in got.items() if i < 900) >= 147
+
+
+CLASHING = "_key _id _text _marks _done _gone _again _draw _ids _decoded key label held".split()
+
+
+def test_quality_with_columns_of_any_name(spark):
+    data = [(*r[:4], *[f"{c}{r[0]}" for c in CLASHING]) for r in corpus(60)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} string" for c in CLASHING))
+    got = quality.keep(df)
+    assert got.columns == df.columns and sorted(map(tuple, got.collect())) == sorted(data)
 
 
 def lower(t):

@@ -54,3 +54,11 @@ def test_redaction_merges_overlaps_and_keeps_columns(docs):
 def test_odd_rows(odd, empty):
     assert secrets.scan(odd).count() == odd.count() and secrets.scan(empty).count() == 0
     assert secrets.redact(odd).count() == odd.count() and secrets.redact(empty).count() == 0
+
+
+def test_redaction_with_columns_of_any_name(spark):
+    names = "_key _id _text _marks _done _gone _again _draw _ids _decoded row key marks id owner repo".split()
+    df = spark.createDataFrame([(1, "my password=Abcdef123456xyz now", "en", "s", *names), (2, "nothing", "en", None, *names)], "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} string" for c in names))
+    got = {r["doc_id"]: r for r in secrets.redact(df).collect()}
+    assert secrets.redact(df).columns == df.columns and all([r[c] for c in names] == names for r in got.values())
+    assert got[1]["text"] == "my [SECRET] now" and got[2]["text"] == "nothing"
