@@ -1,15 +1,20 @@
 """The corpus pipeline: documents that pass the quality rules, one of each group of near copies,
-without secrets, mixed to the sources' weights, as BPE tokens."""
+without secrets, mixed to the sources' weights, as BPE tokens.
+
+Defined cases, as its stages define them: null and empty texts fail the quality rules; rows that share
+an id are judged each, and one stays; rows with a null id are documents each; a null source is a
+source of its own; very long texts pass every stage whole; of tied copies the least id stays; an empty
+table gives an empty result; extra columns pass by, but ids and n_tokens, which the last stage makes.
+"""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quarry.llm import bpe, mixing, neardup, quality, secrets
-from quarry.llm.common import shared_folder
+from quarry.llm.common import removed, scratch, shared_folder, written
 from quarry.llm.queries import vocabulary
 
 
@@ -35,9 +40,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of documents, the text decoded from the tokens, with the token ids and their number."""
-    rows = bpe.encoded(docs, vocabulary())
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "ids", "n_tokens")]
-    return rows.select(*others, F.col("_decoded").alias("text"), F.size("_ids").cast("long").alias("n_tokens"), F.col("_ids").alias("ids"))
+    return bpe.encoded(docs, vocabulary())
 
 
 STAGES = [("quality rules", quality_rules), ("near dedup", near_dedup), ("secret scans", secret_scans), ("source mixing", source_mixing), ("bpe tokens", bpe_tokens)]
@@ -46,9 +49,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each stage's rows are written as Parquet into the shared folder and read again by the next."""
-    docs, to = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    """Each stage's rows are written as Parquet into the shared folder and read again by the next; they go when the next are written."""
+    docs, to, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{to}/{k}")
-        docs = spark.read.parquet(f"{to}/{k}")
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), f"{to}/{k}")
+        if before:
+            removed(spark, before)
+        before = f"{to}/{k}"
     return docs
