@@ -177,37 +177,47 @@ def linked(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], weighted_t
         heads = spread.groupBy("bucket").agg(F.min("id").alias("head"), F.count("*").alias("n"), F.sum("size").alias("sizes")).where("n > 1")
         members = pinned(spread.join(heads, "bucket"))
         links = verified(members.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), texts, weighted_too)
-        large = members.where((F.col("n") > 2 * BLOCK) | (F.col("sizes") > 2 * BLOCK_SHINGLES))
+        large, roots = members.where((F.col("n") > 2 * BLOCK) | (F.col("sizes") > 2 * BLOCK_SHINGLES)), None
         if large.limit(1).count():
-            links = links.unionByName(settled(large, links, texts, weighted_too))
-        more = compared(cells(members, links), texts, weighted_too)
+            links, roots = settled(large, links, texts, weighted_too)
+        more = compared(cells(members, components(links) if roots is None else roots), texts, weighted_too)
         return pinned(links.unionByName(more), outlives=True)
 
 
-def named(members: DataFrame, links: DataFrame) -> DataFrame:
-    """members with the root of each one's component, of those buckets that hold several components."""
-    at = members.join(components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = at.groupBy("bucket").agg((F.min("root") < F.max("root")).alias("mixed")).where("mixed").select("bucket")
-    return pinned(at.join(bounded(pinned(mixed)), "bucket"))
+def mixed(at: DataFrame) -> DataFrame:
+    """The rows of at(bucket, root, ...) of those buckets that hold several roots."""
+    at = pinned(at)
+    several = at.groupBy("bucket").agg((F.min("root") < F.max("root")).alias("several")).where("several").select("bucket")
+    return at.join(bounded(pinned(several)), "bucket")
 
 
-def settled(large: DataFrame, links: DataFrame, texts: Callable[[DataFrame], DataFrame], weighted_too: bool) -> DataFrame:
-    """Further links(a, b) in large buckets, found in random cells, round by round, while a round joins many components."""
-    found, before, turn = links.limit(0), None, 0
-    while True:
-        at = named(large, links.unionByName(found))
-        left = at.select("root").distinct().count()
-        if not left or (before is not None and left > WORTH * before):
-            return found
-        before, turn = left, turn + 1
+def named(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """members with the root of each one's component, of those buckets that hold several components."""
+    return mixed(members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
+
+
+def settled(large: DataFrame, links: DataFrame, texts: Callable[[DataFrame], DataFrame], weighted_too: bool) -> tuple[DataFrame, DataFrame]:
+    """links(a, b) with those found in random cells of large buckets, round by round, while a round joins many components; and their components."""
+    # at first a bucket's texts are of its head's component if they are linked to it, else of their own
+    linked_to = links.select(F.col("a").alias("head"), F.col("b").alias("id"), F.lit(True).alias("near"))
+    at = mixed(large.join(linked_to, ["head", "id"], "left").withColumn("root", F.when(F.col("near") | (F.col("id") == F.col("head")), F.col("head")).otherwise(F.col("id"))))
+    before, turn = at.select("root").distinct().count(), 0
+    roots = None if before else components(links)
+    while before:
+        turn += 1
         many = F.greatest(F.col("n") / (2 * BLOCK), F.col("sizes") / (2 * BLOCK_SHINGLES))
         dealt = at.select(F.xxhash64("bucket", F.pmod(F.xxhash64(F.lit(turn), "id", "bucket"), F.ceil(many).cast("long"))).alias("cell"), "id", "root")
-        found = found.unionByName(compared(dealt, texts, weighted_too))
+        links = links.unionByName(compared(dealt, texts, weighted_too))
+        roots = components(links)
+        at = named(large, roots)
+        left = at.select("root").distinct().count()
+        before = left if left <= WORTH * before else 0
+    return links, roots
 
 
-def cells(members: DataFrame, links: DataFrame) -> DataFrame:
+def cells(members: DataFrame, roots: DataFrame) -> DataFrame:
     """(cell, id, root): the members(bucket, id, size) of buckets with several components, dealt so that any two of one bucket and different roots share a cell."""
-    at = named(members.select("bucket", "id", "size"), links)
+    at = named(members.select("bucket", "id", "size"), roots)
     # buckets of the same members are compared once
     sums = at.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"))
     once = pinned(sums.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket"))
