@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from functools import cache
 from os.path import commonprefix
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -31,8 +32,8 @@ from .common import pieces
 
 #: Words whose encodings a worker keeps between batches; beyond it the store begins anew.
 KEPT_WORDS = 500_000
-#: Characters whose words go through the trie together.
-TRIE_CHARS = 4_000_000
+#: Characters whose words go through the trie together; fewer where ids and texts go on, whose words are kept in a smaller store too.
+TRIE_CHARS, CARRIED_CHARS, CARRIED_WORDS = 4_000_000, 1_000_000, 100_000
 #: How byte-level vocabularies write bytes, and the pattern that cuts a text into words.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -204,11 +205,17 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
         enc = encoder(path)
         for batch in batches:
             at = batch.schema.get_field_index(name)
-            for part in pieces(batch, (at,), TRIE_CHARS):
-                texts = [t or "" for t in part.column(at).to_pylist()]
-                ids = [[int(i) for c in chunks for i in c[0].split(",")] for chunks in enc.coded(texts)]
+            for part in pieces(batch, (at,), CARRIED_CHARS):
+                if len(enc.known) > CARRIED_WORDS:
+                    enc.known = {}
+                ids, decoded = [], []
+                for chunks in enc.coded([t or "" for t in part.column(at).to_pylist()]):
+                    ids.append(np.fromstring(",".join([c[0] for c in chunks]), np.int32, sep=","))
+                    decoded.append(b"".join([c[1] for c in chunks]).decode("utf-8", "replace"))
+                sizes = np.array([len(x) for x in ids], np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
                 rest = [c for i, c in enumerate(part.columns) if i != at]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array([enc.decode(x) for x in ids], pa.string()), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=[*[n for i, n in enumerate(part.schema.names) if i != at], name, "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(decoded, pa.string()), pa.array(sizes), lists], names=[*[n for i, n in enumerate(part.schema.names) if i != at], name, "n_tokens", "ids"])
         enc.known = {}  # the worker may serve other operators next
 
     kinds = dict(docs.dtypes)
