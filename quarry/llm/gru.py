@@ -9,22 +9,24 @@ from __future__ import annotations
 
 import numpy as np
 
-#: State units; words in a class, and such classes. Words 0 (the end) and 1 (any rarer word) are classes of their own before these.
-UNITS, SIZE, CLASSES, WINDOW = 12, 32, 16, 32
-WORDS = 2 + SIZE * CLASSES
+#: State units; words in a class, and such classes; steps of a window.
+UNITS, SIZE, CLASSES, WINDOW = 16, 64, 48, 32
+#: Number 0 is the end, a class of its own; then come the RARE kinds of rarer words, and the model's own words in order of frequency.
+RARE = 256
+WORDS = 1 + SIZE * CLASSES
 
 
 def start(counts: np.ndarray, seed: int = 0) -> dict[str, np.ndarray]:
-    """Parameters whose first predictions are the frequencies of the WORDS words; the words from 2 on are in order of frequency."""
+    """Parameters whose first predictions are the frequencies of the WORDS words."""
     n = UNITS
     rng = np.random.default_rng(seed)
     p = (counts + 1.0) / (counts.sum() + WORDS)
-    own = p[2:].reshape(CLASSES, SIZE)
+    own = p[1:].reshape(CLASSES, SIZE)
     f = np.float32
     normal = lambda *shape: rng.standard_normal(shape).astype(f)
     return {
         "xg": normal(WORDS, 2 * n) * f(0.15), "xc": normal(WORDS, n) * f(0.3), "u": normal(n, 3 * n) / f(n**0.5), "bg": np.r_[np.full(n, 0.5), np.zeros(n)].astype(f), "bc": np.zeros(n, f),
-        "c": np.zeros((n, 2 + CLASSES), f), "cb": np.log(np.r_[p[:2], own.sum(axis=1)]).astype(f), "o": np.zeros((CLASSES, n, SIZE), f), "ob": np.log(own / own.sum(axis=1, keepdims=True)).astype(f),
+        "c": np.zeros((n, 1 + CLASSES), f), "cb": np.log(np.r_[p[:1], own.sum(axis=1)]).astype(f), "o": np.zeros((CLASSES, n, SIZE), f), "ob": np.log(own / own.sum(axis=1, keepdims=True)).astype(f),
     }
 
 
@@ -110,7 +112,7 @@ def recur(p: dict[str, np.ndarray], before: np.ndarray, fresh: np.ndarray, h: np
 
 def loss(p: dict[str, np.ndarray], states: np.ndarray, words: np.ndarray, grads: dict[str, np.ndarray] | None):
     """ln P of each word given its state; with grads, adds those of the negative sum and returns the states' own as well."""
-    cls = np.where(words < 2, words, 2 + (words - 2) // SIZE)
+    cls = (words + (SIZE - 1)) // SIZE
     a = states @ p["c"]
     a += p["cb"]
     rows = np.arange(len(words))
@@ -125,15 +127,15 @@ def loss(p: dict[str, np.ndarray], states: np.ndarray, words: np.ndarray, grads:
         grads["c"] += states.T @ a
         grads["cb"] += a.sum(axis=0)
         d = a @ p["c"].T
-    some = np.flatnonzero(words >= 2)
+    some = np.flatnonzero(words)
     some = some[np.argsort(cls[some].astype(np.int16), kind="stable")]
-    edges = np.searchsorted(cls[some], np.arange(2, CLASSES + 3))
+    edges = np.searchsorted(cls[some], np.arange(1, CLASSES + 2))
     ones = np.ones(SIZE, np.float32)
     for k in range(CLASSES):
         at = some[edges[k] : edges[k + 1]]
         if not len(at):
             continue
-        own, w = states[at], (words[at] - 2) % SIZE
+        own, w = states[at], (words[at] - 1) % SIZE
         a = own @ p["o"][k]
         a += p["ob"][k]
         here = np.arange(len(at))

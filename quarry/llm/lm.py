@@ -1,13 +1,16 @@
 """Language-model scoring: exact word counts of the training documents and a gated recurrent model.
 
 Spark counts every training word. The commonest words are the recurrent model's own; any rarer word
-is its word 1, followed by the add-one frequency of that word among the rarer ones. The recurrent
-model reads every training document once, in rounds: in each, every task trains a copy on its share
-by truncated backpropagation, and the copies' average, weighted by words, opens the next round.
+is of one of gru.RARE kinds by its last two bytes, which the model reads and predicts as a word,
+followed by the add-one frequency of that word among those of its kind. The recurrent model reads
+every training document once, in rounds: in each, every task trains a copy on its share by truncated
+backpropagation, and the copies' average, weighted by words, opens the next round. So the score
+depends on how the input is dealt to tasks; the counts and the base score do not.
 
-Words are known by 64-bit hashes. Counts of the commonest HELD_WORDS words go to every task; a
+Words are known by 64 bits: 56 of a hash and the kind. Counts of the commonest HELD_WORDS words go to every task; a
 document's rarer words meet their counts in a join. Defined cases: a null or empty text is one end
-token; a null id is in training; repeated rows score the same each; no training rows: every count is 0.
+token; a null id is in training; repeated rows score the same each; no training rows: every count is 0; a very long text is scored whole, its state
+carried from window to window; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,15 +22,22 @@ from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
 from . import gru
-from .common import BROADCAST_ROWS, Words, held_out, pieces, pinned, signed, slices
+from .common import BROADCAST_ROWS, Words, held_out, mix, pieces, pinned, signed, slices
 from .ngrams import lookup, summed
 
+KINDS = np.uint64(gru.RARE - 1)
 END = np.uint64(0xE5D0E5D0E5D0E5D1)
 HELD_WORDS, ROUNDS, FAN_IN = BROADCAST_ROWS // 3, 3, 16
 #: Characters that a task turns into arrays at a time, and that the model reads side by side.
 READ_CHARS, LANE_CHARS = 1_000_000, 12_000_000
 
 
+def keys_of(w: Words) -> np.ndarray:
+    """Hashes of the words, with the kind by the last two bytes in the last bits."""
+    last = w.data[w.end - 1].astype(np.uint64) * np.uint64(256) + np.where(w.end - w.start > 1, w.data[np.maximum(w.end - 2, 0)], 0).astype(np.uint64)
+    return (w.hash & ~KINDS) | (mix(last + np.uint64(1)) & KINDS)
+
+
 def word_counts(train: DataFrame) -> DataFrame:
     """(word, n) of train(text): hashes of words, and END once for each document; each task adds up its own first."""
 
@@ -36,7 +46,7 @@ def word_counts(train: DataFrame) -> DataFrame:
         for batch in batches:
             docs += batch.num_rows
             for part in pieces(batch, (0,)):
-                h = Words([t or "" for t in part.column(0).to_pylist()], ascii_lower=True).hash
+                h = keys_of(Words([t or "" for t in part.column(0).to_pylist()], ascii_lower=True))
                 parts.append(summed(h, np.ones(len(h))))
                 if len(parts) > 12:
                     parts = [summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))]
@@ -68,24 +78,32 @@ class Counts:
         words, n = t.column("word").to_numpy().view(np.uint64), t.column("n").to_numpy()
         order = np.argsort(words)
         self.words, self.n = words[order].copy(), n[order].copy()
-        top = np.lexsort((self.words, -self.n))[: gru.WORDS - 2]
-        number = np.full(len(self.words), 1, np.int16)
-        number[top] = np.arange(2, 2 + len(top))
+        top = np.lexsort((self.words, -self.n))[: gru.WORDS - 1 - gru.RARE]
+        number = (1 + (self.words & KINDS)).astype(np.int16)
+        number[top] = np.arange(1 + gru.RARE, 1 + gru.RARE + len(top))
         self.number = number
+        kind = F.col("word").bitwiseAND(int(KINDS))
+        sums = counts.where(F.col("word") != end).groupBy(kind.alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()  # one row for each kind
+        self.rare_tokens, self.rare_distinct = np.zeros(gru.RARE), np.zeros(gru.RARE)
+        for r in sums:
+            self.rare_tokens[r["k"]], self.rare_distinct[r["k"]] = r["n"], r["v"]
+        own = (self.words[top] & KINDS).astype(np.int64)
+        self.rare_tokens -= np.bincount(own, weights=self.n[top], minlength=gru.RARE)
+        self.rare_distinct -= np.bincount(own, minlength=gru.RARE)
         common = np.zeros(gru.WORDS)
-        common[2 : 2 + len(top)] = self.n[top]
-        common[0] = self.docs
-        self.rare_tokens, self.rare_distinct = self.tokens - self.docs - int(self.n[top].sum()), self.distinct - (self.docs > 0) - len(top)
-        common[1] = self.rare_tokens
+        common[0], common[1 : 1 + gru.RARE] = self.docs, self.rare_tokens
+        common[1 + gru.RARE : 1 + gru.RARE + len(top)] = self.n[top]
         self.common = common
 
     def read(self, texts: list[str]):
         """For each slice of the texts: its words' numbers, and of its documents the words and of what is not held."""
         for a, b in slices(texts, READ_CHARS):
             w = Words(texts[a:b], ascii_lower=True)
-            u, at = np.unique(w.hash, return_inverse=True)
+            u, at = np.unique(keys_of(w), return_inverse=True)
             place, hit = lookup(self.words, u)
-            yield w, u, at, hit, np.where(hit, self.number[place], np.int16(1)).astype(np.int16) if len(self.words) else np.ones(len(u), np.int16), np.where(hit, self.n[place], 0) if len(self.words) else np.zeros(len(u), np.int64)
+            number, n = (1 + (u & KINDS)).astype(np.int16), np.zeros(len(u), np.int64)
+            number[hit], n[hit] = self.number[place[hit]], self.n[place[hit]]
+            yield w, u, at, hit, number, n
 
     def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Words' numbers with an end after each document, and where documents begin."""
@@ -160,7 +178,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod:
     def run(batches):
         c, p = shared.value, model.value
         base_norm = np.log10(c.tokens + 1.0 * (c.distinct + 1))
-        rare_norm = np.log10(c.rare_tokens + 1.0 * (c.rare_distinct + 1))
+        rare_norm = np.log10(c.rare_tokens + c.rare_distinct + 1.0)
         for batch in batches:
             for part in pieces(batch, (1,), LANE_CHARS):
                 texts = [t or "" for t in part.column(1).to_pylist()]
@@ -173,9 +191,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod:
                     sizes.append(w.count)
                     known.append(sums(hit & (n > 0)))
                     base.append(sums(lg))
-                    rare.append(sums(np.where(number == 1, lg - rare_norm, 0.0)))
+                    rare.append(sums(np.where(number <= gru.RARE, lg - rare_norm[(u & KINDS).astype(np.int64)], 0.0)))
                     tail = np.flatnonzero(~hit[at]) if c.cut > 1 else np.zeros(0, np.int64)
-                    tails.append(w.hash[tail])
+                    tails.append(u[at[tail]])
                     ends.append(ends[-1][-1] + np.searchsorted(w.text_of[tail], np.arange(1, docs + 1)))
                 cat = np.concatenate
                 size = cat(sizes)

@@ -182,6 +182,56 @@ def test_scores(docs, held):
     assert held < 10**6 or sum(r["score"] for r in got if r["held_out"]) > sum(r["base_score"] for r in got if r["held_out"])
 
 
+def plain_forward(p, tokens):
+    """ln P of one document by the formulas, number by number."""
+    sig = lambda x: 1 / (1 + np.exp(-2 * x))  # noqa: E731  gates take half their input's scale
+    n, h, before, total = gru.UNITS, np.zeros(gru.UNITS), None, 0.0
+    for t, word in enumerate(tokens):
+        last = tokens[t - 1] if t else 0
+        gate = sig(p["xg"][last] + p["bg"] + h @ p["u"][:, : 2 * n])
+        z, r = gate[:n], gate[n:]
+        c = np.tanh(p["xc"][last] + p["bc"] + r * (h @ p["u"][:, 2 * n :]))
+        h = z * h + (1 - z) * c
+        a = h @ p["c"] + p["cb"]
+        cls = 0 if word == 0 else 1 + (word - 1) // gru.SIZE
+        total += a[cls] - np.log(np.exp(a).sum())
+        if word:
+            b = h @ p["o"][cls - 1] + p["ob"][cls - 1]
+            total += b[(word - 1) % gru.SIZE] - np.log(np.exp(b).sum())
+    return total
+
+
+def test_scores_are_those_of_a_plain_forward_pass(docs, monkeypatch):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(5000)]
+    data = [(i, " ".join(words[int(rng.expovariate(1 / 900)) % 5000] for _ in range(rng.randint(0, 250))), "en", "s", 0, "x", 1, "y", "z") for i in range(40)]
+    seen = {}
+
+    def fit(train, counts, rounds=3):
+        p = {k: v + np.random.default_rng(1).normal(0, 0.3, v.shape).astype(np.float32) for k, v in gru.start(counts.common).items()}
+        seen.update(p=p, counts=counts)
+        return p
+
+    monkeypatch.setattr(lm, "fit", fit)
+    got = {r["doc_id"]: r for r in lm.score(docs(data)).collect()}
+    c = collections.Counter(w for i, t, *_ in data if crc(i, 7) != 2 for w in t.split())
+    number = lambda t: seen["counts"].numbers([t])[0].tolist()
+    kind = {w: number(w)[0] for w in words}
+    ranked = sorted(c, key=lambda w: -c[w])[: gru.WORDS - 1 - gru.RARE]
+    least = min(c[w] for w in ranked)
+    assert all(kind[w] > gru.RARE for w in c if c[w] > least) and all(0 < kind[w] <= gru.RARE for w in words if not c[w])
+    rare = collections.defaultdict(list)
+    for w in c:
+        if kind[w] <= gru.RARE:
+            rare[kind[w]].append(c[w])
+    for i, t, *_ in data[:12]:
+        tokens = number(t)
+        assert tokens[-1] == 0 and len(tokens) == got[i]["n_tokens"]
+        want = plain_forward({k: v.astype(float) for k, v in seen["p"].items()}, tokens) / math.log(10)
+        want += sum(math.log10((c[w] + 1) / (sum(rare[kind[w]]) + len(rare[kind[w]]) + 1)) for w in t.split() if kind[w] <= gru.RARE)
+        assert got[i]["score"] == pytest.approx(want, rel=1e-4)
+
+
 def test_scoring_odd_rows(odd, empty):
     assert lm.score(odd).count() == odd.count() and lm.score(empty).count() == 0
 
