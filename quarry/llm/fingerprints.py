@@ -1,7 +1,8 @@
 """Document fingerprints: canonical exact digests, built from DataFrame functions alone.
 
-A text is canonical after Unicode NFKC normalisation, lower-casing, folding each run of white space
-(any Unicode separator or control space) into one space, and trimming. Its bucket is a 128-bit
+A text is canonical after Unicode NFKC normalisation, full case folding (and NFKC again, as folding may
+part what was composed), folding each run of white space (any Unicode separator or control space)
+into one space, and trimming. Its bucket is a 128-bit
 xxhash; the texts of a bucket that more than one row fell into are compared byte by byte, and where
 they differ (a collision) the place among the bucket's texts in byte order is appended. So two
 fingerprints are equal exactly if the canonical texts are. A null text counts as empty; repeated
@@ -22,9 +23,11 @@ RUN_ROWS, MOST_RUNS = 1_000, 100_000
 
 
 def canonical(text: Column) -> Column:
-    """The ICU library that Spark ships composes to NFKC inside the JVM."""
-    made = F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
-    return F.trim(F.regexp_replace(F.lower(made), r"[\s\p{Z}\x85\x1c-\x1f]+", " "))
+    """The ICU library that Spark ships composes to NFKC and folds case inside the JVM; ASCII texts need neither."""
+    call = lambda kind, name, x: F.call_function("java_method", F.lit(kind), F.lit(name), x, F.lit(True))
+    made = lambda x: call("com.ibm.icu.text.Normalizer", "compose", x)
+    folded = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(made(call("com.ibm.icu.lang.UCharacter", "foldCase", made(text))))
+    return F.trim(F.regexp_replace(folded, r"[\s\p{Z}\x85\x1c-\x1f]+", " "))
 
 
 def wide_hash(canon: Column) -> Column:

@@ -11,7 +11,8 @@ from .conftest import rows
 
 def brute(data):
     """id -> (n_chars, edited sha, near_edited, near_next), in descending order of id; ids are distinct."""
-    fold = lambda t: " ".join(unicodedata.normalize("NFKC", t).lower().split())
+    nfkc = lambda t: unicodedata.normalize("NFKC", t)
+    fold = lambda t: " ".join(nfkc(nfkc(t).casefold()).split())
     order = sorted(data, key=lambda r: -r[0])
     out = {}
     for i, r in enumerate(order):
@@ -47,6 +48,12 @@ def test_colliding_buckets_are_told_apart(docs):
     assert all(r["near_edited"] == float(r["fingerprint"] == r["edited_fingerprint"]) for r in report)
 
 
+def test_full_case_folding(docs):
+    pairs = [("Straße", "STRASSE"), ("οδος", "ΟΔΟΣ"), ("οδοσ", "οδος"), ("ﬁn", "FIN"), ("Ǆ", "ǆ"), ("plain ASCII", "PLAIN ascii"), ("ŉa", "ʼna")]
+    by = {r["doc_id"]: r["fingerprint"] for r in fingerprints.fingerprint(docs(rows(*[t for p in pairs for t in p]))).collect()}
+    assert all(by[2 * i] == by[2 * i + 1] for i in range(len(pairs))) and len(set(by.values())) == len(pairs) - 1
+
+
 def test_odd_rows(odd, empty):
     assert fingerprints.edit_report(odd).count() == odd.count()
     assert fingerprints.edit_report(empty).count() == 0
