@@ -119,7 +119,7 @@ def token_batches(spark, sf_dir):
     return A.token_batches(e, 15, 300)
 
 
-_SUMMARY = f"""{pagerank_sql()}, {COMMITS.replace('commits AS', 'fcommits AS')}, files AS (SELECT 'n' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS path FROM nation), ncommits AS (SELECT DISTINCT 'n' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS path, o_orderkey AS commit_id FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 40 = 0),
+_SUMMARY = f"""{pagerank_sql()}, {COMMITS.replace('commits AS', 'fcommits AS')}, files AS (SELECT 'n' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS path FROM nation), ncommits AS (SELECT DISTINCT 'n' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS path, o_orderkey AS commit_id FROM orders JOIN customer ON o_custkey = c_custkey),
 nn AS (SELECT path, n_regionkey, n_nationkey FROM files JOIN nation ON path = 'n' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0')), co AS (SELECT a.path AS src, b.path AS dst, ((a.n_nationkey + b.n_nationkey) % 7) / 7.0e0 AS w FROM nn a JOIN nn b ON a.n_regionkey = b.n_regionkey AND a.path <> b.path),
 top AS (SELECT path, rank, row_number() OVER (ORDER BY round(rank, 12) DESC, path) AS place FROM p20 ORDER BY place LIMIT 20), part AS (SELECT src, dst, w, row_number() OVER (PARTITION BY src ORDER BY round(w, 9) DESC, dst) AS n FROM co), partners AS (SELECT src AS path, string_agg(printf('%s (%.2f)', dst, w), ', ' ORDER BY n) AS partners FROM part WHERE n <= 3 GROUP BY src), churn AS (SELECT path, COUNT(*) AS n FROM ncommits GROUP BY path)"""
 
@@ -127,7 +127,7 @@ top AS (SELECT path, rank, row_number() OVER (ORDER BY round(rank, 12) DESC, pat
 def _summary(spark, sf_dir):
     r = Roles(spark, sf_dir)
     n = lambda c: F.concat(F.lit("n"), F.lpad(F.col(c).cast("string"), 2, "0"))
-    commits = r.read("orders").where("o_orderkey % 40 = 0").join(r.read("customer"), F.col("o_custkey") == F.col("c_custkey")).select(n("c_nationkey").alias("path"), F.col("o_orderkey").alias("commit_id"))
+    commits = r.read("orders").join(r.read("customer"), F.col("o_custkey") == F.col("c_custkey")).select(n("c_nationkey").alias("path"), F.col("o_orderkey").alias("commit_id"))
     cochange = r.nation_cochange().select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight")
     return R.summary(r.read("nation").select(n("n_nationkey").alias("path")), r.dependencies(), commits, cochange)
 
