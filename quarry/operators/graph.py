@@ -8,7 +8,7 @@ checkpoints. Both give the same rows.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -35,7 +35,8 @@ def _in_one_task(edges: DataFrame, nodes: DataFrame, run, schema: str) -> DataFr
     rows = edges.select("src", "dst", F.col("weight").cast("double")).unionByName(nodes.select(F.col("path").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(None).cast("double").alias("weight")))
 
     def one(parts):
-        df = pd.concat([pd.DataFrame({"src": [], "dst": [], "weight": []}, dtype=object), *parts], ignore_index=True)
+        held = [p for p in parts if len(p)]
+        df = pd.concat(held, ignore_index=True) if held else pd.DataFrame({"src": [], "dst": [], "weight": []}, dtype=object)
         out = run(df[df.dst.notna()].reset_index(drop=True), sorted(df[df.dst.isna()].src))
         if len(out):
             yield out
@@ -228,10 +229,14 @@ def distances(edges: DataFrame, seeds: DataFrame, depth: int, small: int | None
     return reached
 
 
-def star(edges: DataFrame, centre: str, depth: int) -> DataFrame:
-    """(path, distance, in_weight, out_weight, total_weight) around centre, without it; weights count edges whose other end is within depth too."""
+def star(edges: DataFrame, centre: str, depth: int, files: DataFrame | None = None) -> DataFrame:
+    """(path, distance, in_weight, out_weight, total_weight) around centre, without it; weights count edges whose other end is within depth too.
+
+    A centre that is neither an edge's end nor among files(path) is an error; one of files without edges has no neighbours.
+    """
     seeds = edges.sparkSession.createDataFrame([(centre,)], "path string")
-    if depth > 0 and not edges.where((F.col("src") == centre) | (F.col("dst") == centre)).limit(1).count():
+    known = edges.where((F.col("src") == centre) | (F.col("dst") == centre)).limit(1).count() or (files is not None and files.where(F.col("path") == centre).limit(1).count())
+    if depth > 0 and not known:
         raise ValueError(f"no such node: {centre}")
     near = pinned(distances(edges, seeds, depth).select("path", "distance"))
     inside = edges.join(near.select(F.col("path").alias("src")), "src", "left_semi").join(near.select(F.col("path").alias("dst")), "dst", "left_semi")
@@ -265,7 +270,8 @@ def refactor_plan(scores: DataFrame, per_cycle: int = 3, total: int = 20, least:
     """Cuts and warnings: (scc, place, src, dst, weight, persistence, cut_score, warning).
 
     Within each cyclic component, one task cuts the edge of the best score (ties: lighter, then by
-    name) until no cycle is left; components follow one another by name up to the total.
+    name) until no cycle is left; components follow one another by name until there are as many cuts
+    as the total. Warnings are no cuts; if components are left then, a last warning says so.
     """
     schema = "scc string, place int, src string, dst string, weight double, persistence double, cut_score double, warning string"
     ship(scores.sparkSession)
@@ -284,4 +290,12 @@ def refactor_plan(scores: DataFrame, per_cycle: int = 3, total: int = 20, least:
         return pd.DataFrame(rows, columns=["scc", "place", "src", "dst", "weight", "persistence", "cut_score", "warning"])
 
     cuts = scores.select("scc", "src", "dst", "weight", "persistence", "cut_score").groupBy("scc").applyInPandas(cut, schema)
-    return cuts.orderBy("scc", "place").limit(total)
+    cuts = pinned(cuts)
+    # one row for each cyclic component, and how many cuts stand before it
+    before = F.coalesce(F.sum("n").over(Window.orderBy("scc").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = cuts.groupBy("scc").agg(F.count("src").alias("n")).withColumn("before", before)
+    rows = cuts.join(per.select("scc", "before"), "scc").where((F.col("before") < total) & (F.col("src").isNull() | (F.col("before") + F.col("place") <= total))).drop("before")
+    late = per.where(F.col("before") >= total).limit(1)
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("src", "string"), ("dst", "string"), ("weight", "double"), ("persistence", "double"), ("cut_score", "double"))]
+    stopped = late.select(F.lit(None).cast("string").alias("scc"), F.lit(total + 1).alias("place"), *none, F.lit("cut limit reached before all cycles were handled").alias("warning"))
+    return rows.select(*stopped.columns).unionByName(stopped).orderBy(F.asc_nulls_last("scc"), "place")

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+FEW_SEEDS = 100_000
+
 
 def file_commit_edges(commits: DataFrame) -> DataFrame:
     return commits.select("path", "commit_id").distinct()
@@ -35,8 +37,10 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def neighbours(edges: DataFrame, seeds: DataFrame, limit: int) -> DataFrame:
-    """(path, weight) of the files that change most with seeds(path); seeds may be among them."""
-    near = both_ways(edges).join(F.broadcast(seeds.limit(100_000).select(F.col("path").alias("src"))), "src")
+    """(path, weight) of the files that change most with seeds(path); seeds may be among them. More than FEW_SEEDS are shuffled, not broadcast."""
+    few = seeds.limit(FEW_SEEDS + 1).count() <= FEW_SEEDS
+    ends = seeds.select(F.col("path").alias("src"))
+    near = both_ways(edges).join(F.broadcast(ends) if few else ends, "src")
     return near.groupBy(F.col("dst").alias("path")).agg(F.sum("weight").alias("weight")).orderBy(F.desc("weight"), "path").limit(limit)
 
 

@@ -38,16 +38,29 @@ class Catalog:
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
+            if self._recovered(name):
+                return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
             return self.spark.createDataFrame([], schema)
 
+    def _recovered(self, name: str) -> bool:
+        """Finishes a swap that broke off between its renames: the new state if it was written whole, else the old one."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        to, new, old = (hadoop.Path(f"{self.root}/{name}{x}") for x in ("", "__new", "__old"))
+        fs = to.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(old):
+            return False
+        return fs.rename(new if fs.exists(hadoop.Path(new, "_SUCCESS")) else old, to)
+
     def replace(self, name: str, rows: DataFrame) -> None:
         """Writes the table's new state beside the old one, then swaps the folders."""
         hadoop = self.spark._jvm.org.apache.hadoop.fs
         conf = self.spark._jsc.hadoopConfiguration()
         to, new, old = (f"{self.root}/{name}{x}" for x in ("", "__new", "__old"))
-        rows.write.mode("overwrite").parquet(new)
         path = hadoop.Path(to)
         fs = path.getFileSystem(conf)
+        if not fs.exists(path):
+            self._recovered(name)
+        rows.write.mode("overwrite").parquet(new)
         fs.delete(hadoop.Path(old), True)
         if fs.exists(path):
             fs.rename(path, hadoop.Path(old))

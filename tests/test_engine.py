@@ -101,6 +101,30 @@ def test_both_ways_of_graph_measures_agree(spark):
     with pytest.raises(ValueError):
         graph.star(edges, "nowhere", 1)
     assert graph.star(edges, "x", 0).count() == 0
+    alone = spark.createDataFrame([("alone",)], "path string")
+    assert graph.star(edges, "alone", 2, alone).count() == 0
+
+
+def test_cut_limit(spark):
+    pairs = [(f"{c}{i}", f"{c}{(i + 1) % 3}", i + 1) for c in "abc" for i in range(3)]
+    edges = spark.createDataFrame(pairs, EDGE)
+    scores = graph.edge_scores(edges, graph.strong_components(edges), spark.createDataFrame([], "a string, b string, weight double"))
+    rows = lambda **k: [(r["scc"], r["src"], r["warning"]) for r in graph.refactor_plan(scores, least=0.0, **k).collect()]
+    assert [(s is not None, w) for _, s, w in rows(total=3)] == [(True, None)] * 3
+    assert [(s is not None, w) for _, s, w in rows(total=2)] == [(True, None)] * 2 + [(False, "cut limit reached before all cycles were handled")]
+    # a warning is no cut
+    assert [s is not None for _, s, _ in rows(total=2, per_cycle=0)] == [False] * 3
+
+
+def test_swap_that_broke_off(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path), 2).open()
+    row = lambda n: spark.createDataFrame([(f"{n}.rs", None, n, None, None)], SCHEMAS["files"])
+    c.replace("files", row(1))
+    (tmp_path / "files").rename(tmp_path / "files__old")
+    assert [r["size"] for r in c.table("files").collect()] == [1]
+    (tmp_path / "files").rename(tmp_path / "files__old")
+    row(2).write.parquet(str(tmp_path / "files__new"))
+    assert [r["size"] for r in c.table("files").collect()] == [2]
 
 
 def test_fts_scores_and_blend(spark):
