@@ -56,9 +56,10 @@ class Engine:
         self.catalog.replace("file_cochange_edges", history.upsert_edges(old, history.cochange_edges(edges, sizes)))
         self.catalog.replace("file_commit_edges", self.catalog.table("file_commit_edges").unionByName(edges.select(F.col("path").alias("file_path"), "commit_id")).distinct())
 
-    def search(self, query: str, prefixes: list[str] | None = None, extensions: list[str] | None = None, min_score: float = 0.25) -> DataFrame:
-        """(id, path, score, ...) of the best chunks; filters apply after the limit."""
+    def search(self, query: str, prefixes: list[str] | None = None, extensions: list[str] | None = None, min_score: float | None = None) -> DataFrame:
+        """(id, path, score, ...) of the best chunks; filters, and the least score (that of the settings, unless given), apply after the limit."""
         s = self.config.search
+        least = s.min_score if min_score is None else min_score
         chunks = self.catalog.table("chunks")
         vector = self.spark.createDataFrame([(self.embedder()()([query])[0],)], "embedding array<float>")
         near = search.vector_topk(chunks.select("id", "embedding"), vector, s.limit).where(~F.isnan("distance"))
@@ -66,7 +67,7 @@ class Engine:
         words = search.fts_topk(chunks.select("id", F.col("fts_text").alias("text")), terms, s.limit)
         hits = search.hybrid(near, words, s.hybrid_weight, s.limit).join(chunks.select("id", F.col("file_path").alias("path"), "start_byte", "end_byte", "text"), "id")
         kept = hits.where(P.in_prefixes(F.col("path"), prefixes or []) & P.in_extensions(F.col("path"), extensions or []))
-        return kept.where(V.clamp(F.col("score")) >= min_score).orderBy(F.desc("score"), "id")
+        return kept.where(V.clamp(F.col("score")) >= least).orderBy(F.desc("score"), "id")
 
     def edges(self) -> DataFrame:
         return self.catalog.table("file_dependency_edges").select("src", "dst", F.col("reference_count").alias("weight"))

@@ -31,6 +31,20 @@ def test_index_search_and_topology(spark, tmp_path):
     assert [(r["src"], r["dst"], round(r["weight"], 6)) for r in e.catalog.table("file_cochange_edges").collect()] == [("src/app.py", "src/lib.rs", 0.333333)]
 
 
+def test_command_line(spark, tmp_path, capsys):
+    from quarry.__main__ import main
+
+    (tmp_path / "tree").mkdir()
+    (tmp_path / "tree" / "a.py").write_text(FILES["src/app.py"])
+    go = lambda *a: main(["--data", str(tmp_path / "data"), *a], spark)
+    go("index", str(tmp_path / "tree"))
+    go("search", "add", "--min-score", "0")
+    go("topology")
+    go("--set", "search.limit=3", "config")
+    out = capsys.readouterr().out
+    assert "a.py:0-" in out and '"betti_0": 1' in out and '"limit": 3' in out
+
+
 def test_settings(tmp_path):
     (tmp_path / "c.toml").write_text("[search]\nlimit = 5\n[history]\nmerges = true\n")
     c = config.load(str(tmp_path / "c.toml"), {"search.min_score": "0.5"}, {"QUARRY_CHUNKING__OVERLAP": "0.1", "OTHER": "1"})
