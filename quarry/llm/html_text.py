@@ -13,7 +13,8 @@ body count once, whatever stands around it: a page that was copied is no templat
 
 Defined cases: a null html gives an empty text; a null or odd url counts as one more host; a block
 needs LEAST_PAGES pages of its host to be judged by them; where all would go, the page's own
-structure alone decides; pages that repeat give the same text each; an empty table gives no rows.
+structure alone decides; pages that repeat, or share an id, give a text each; a very long page is read
+whole; an importance just at the limit stays; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
-from .common import BROADCAST_ROWS, pinned
+from .common import BROADCAST_ROWS, pieces, pinned
 from .ngrams import lookup
 
 LEAST_PAGES, LEAST_IMPORTANCE, BLEND = 4, 0.5, 0.9
@@ -196,19 +197,20 @@ def style_rows(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out = [[], [], [], [], []]
-            for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                host = host_of(url)
-                h = _hash(host)
-                blocks, children = parse(html or "")
-                page = body_key(blocks)
-                seen = {(_hash(host, b.path), 0, _hash(b.text)) for b in blocks if not b.noise}
-                seen |= {(_hash(host, p), 1, _hash(*c)) for p, c in children.items()}
-                for node, kind, value in seen:
-                    for x, v in zip(out, (h, node, kind, value, page), strict=True):
-                        x.append(v)
-            longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([longs(out[0]), longs(out[1]), pa.array(out[2], pa.int32()), longs(out[3]), longs(out[4])], names=["host", "node", "kind", "value", "page"])
+            for part in pieces(batch, (1,)):
+                out = [[], [], [], [], []]
+                for url, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    host = host_of(url)
+                    h = _hash(host)
+                    blocks, children = parse(html or "")
+                    page = body_key(blocks)
+                    seen = {(_hash(host, b.path), 0, _hash(b.text)) for b in blocks if not b.noise}
+                    seen |= {(_hash(host, p), 1, _hash(*c)) for p, c in children.items()}
+                    for node, kind, value in seen:
+                        for x, v in zip(out, (h, node, kind, value, page), strict=True):
+                            x.append(v)
+                longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([longs(out[0]), longs(out[1]), pa.array(out[2], pa.int32()), longs(out[3]), longs(out[4])], names=["host", "node", "kind", "value", "page"])
 
     return map_arrow(pages.select("url", "html"), run, "host long, node long, kind int, value long, page long")
 
@@ -257,14 +259,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def run(batches):
         keys = shared.value
-        for batch in batches:
-            urls, htmls = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            own = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * len(urls)
-            texts = []
-            for url, html, mine in zip(urls, htmls, own, strict=True):
-                held = keys if keys is not None else np.sort(np.array(mine or [], np.int64).view(np.uint64))
-                texts.append(text_of(url, html, lambda k, held=held: lookup(held, np.array(k, np.uint64))[1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[id_col, "url", "text", "n_chars"])
+        for whole in batches:
+            for batch in pieces(whole, (2,)):
+                urls, htmls = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+                own = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * len(urls)
+                texts = []
+                for url, html, mine in zip(urls, htmls, own, strict=True):
+                    held = keys if keys is not None else np.sort(np.array(mine or [], np.int64).view(np.uint64))
+                    texts.append(text_of(url, html, lambda k, held=held: lookup(held, np.array(k, np.uint64))[1]))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[id_col, "url", "text", "n_chars"])
 
     if few:
         return map_arrow(rows, run, schema)

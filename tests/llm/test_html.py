@@ -1,3 +1,9 @@
+import collections
+import math
+import random
+
+import pytest
+
 from quarry.llm import html_text
 
 NEVER = lambda keys: [False] * len(keys)
@@ -53,3 +59,55 @@ def test_copies_of_a_body_are_no_template(spark):
     got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"Seen on day {i} {own('copy')}" for i in range(60))
     assert all(got[100 + i] == f"Title {i} {own(i)}" for i in range(60))
+
+
+def plain_tree(pages):
+    """The texts by a style tree kept in dictionaries, host by host."""
+    parsed = [(html_text.host_of(u), *html_text.parse(h or "")) for _, u, h in pages]
+    texts, shapes = collections.defaultdict(set), collections.defaultdict(set)
+    for host, blocks, children in parsed:
+        page = html_text.body_key(blocks)
+        for b in blocks:
+            if not b.noise:
+                texts[host, b.path, b.text].add(page)
+        for path, c in children.items():
+            shapes[host, path, tuple(c)].add(page)
+    held, seen = collections.Counter(), collections.defaultdict(list)
+    for (host, path, _), pages_of in texts.items():
+        held[host, path] += len(pages_of)
+    for (host, path, _), pages_of in shapes.items():
+        seen[host, path].append(len(pages_of))
+    out = []
+    for host, blocks, _ in parsed:
+        kept = []
+        blocks = [b for b in blocks if not b.noise]
+        for b in blocks:
+            c, m = len(texts[host, b.path, b.text]), held[host, b.path]
+            n = seen.get((host, b.path), [])
+            total = sum(n)
+            shape = -sum(x / total * math.log(x / total) for x in n) / math.log(total) if total > 1 else 1.0
+            if not (c >= 3 and m >= html_text.LEAST_PAGES and html_text.BLEND * (1 - math.log(c) / math.log(m)) + (1 - html_text.BLEND) * shape < html_text.LEAST_IMPORTANCE):
+                kept.append(b)
+        out.append(" ".join(b.text for b in html_text.body(kept or blocks)))
+    return out
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_texts_are_those_of_a_plain_style_tree(spark, most):
+    rng = random.Random(2)
+    line = lambda n: " ".join(f"w{rng.randrange(10**5)}" for _ in range(n))
+    pages = []
+    for host in ("a.org", "b.org"):
+        own = [line(12), line(30), line(25)]
+        for i in range(14):
+            body = "".join(f"<p>{line(rng.randint(5, 40))}</p>" + (f"<div class='x{rng.randrange(2)}'><b>{line(3)}</b></div>" if rng.random() < 0.4 else "") for _ in range(3))
+            marked = f"<p>{own[0]}</p>{body}<p>{own[1]}</p>"  # boilerplate inside the marked part
+            pages.append((len(pages), f"http://{host}/{i}", f"<html><body><div>{own[2]}</div><main>{marked}</main></body></html>" if host == "a.org" else f"<body><p>{own[0]}</p>{body}</body>"))
+        pages += [(len(pages), pages[-1][1], pages[-1][2])] * 6
+    pages += [(None, None, None), (900, "", "<p>" + line(5) + "</p>"), (901, "http://a.org/long", "<main>" + f"<p>{line(50)}</p>" * 400 + "</main>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = html_text.extract(df, most=most).collect()
+    want = plain_tree(pages)
+    assert sorted((str(r["page_id"]), r["text"]) for r in got) == sorted((str(p[0]), t) for p, t in zip(pages, want, strict=True))
+    boiler = pages[0][2].split("<main><p>")[1].split("</p>")[0]
+    assert all(boiler not in r["text"] for r in got if r["url"] and "a.org" in r["url"]) and all(r["n_chars"] == len(r["text"]) for r in got)
