@@ -31,7 +31,7 @@ from ..shipping import map_arrow
 from .common import pieces
 
 #: Words whose encodings a worker keeps between batches; beyond it the store begins anew.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 900_000
 #: Characters whose words go through the trie together; fewer where ids and texts go on, whose words are kept in a smaller store too.
 TRIE_CHARS, CARRIED_CHARS, CARRIED_WORDS = 4_000_000, 1_000_000, 100_000
 #: How byte-level vocabularies write bytes, and the pattern that cuts a text into words.
