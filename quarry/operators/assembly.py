@@ -66,12 +66,16 @@ def trim_text(text: str, most: int, size: Callable[[str], int]) -> tuple[str, in
 
 def trimmed_bytes(blocks: DataFrame, most: int) -> DataFrame:
     """blocks cut to their longest head of whole lines of at most `most` bytes, as columns; those of which nothing fits go."""
-    lines = F.split("text", "\n", -1)
-    heads = F.transform(F.sequence(F.lit(1), F.size(lines)), lambda i: F.array_join(F.slice(lines, F.lit(1), i), "\n"))
-    fits = F.filter(heads, lambda h: F.octet_length(h) <= most)
-    n = F.size(fits)
-    out = blocks.withColumn("_n", n).where("_n > 0").withColumn("text", F.array_join(F.slice(lines, F.lit(1), F.col("_n")), "\n")).where("text <> ''")
-    return out.withColumns({"end_line": (F.col("start_line") + F.col("_n") - 1).cast("int"), "end_byte": F.col("start_byte") + F.octet_length("text")}).drop("_n")
+    if most <= 0:
+        return blocks.where("false")
+    data = F.col("text").cast("binary")
+    # a line that ends within the limit is followed by a break at most one byte beyond it
+    head = F.substring(data, 1, most + 1).cast("string")
+    room = F.octet_length(head) - F.octet_length(F.substring_index(head, "\n", -1)) - 1
+    cut = F.when(F.octet_length("text") <= most, F.col("text")).when(room > 0, F.substring(data, F.lit(1), room).cast("string"))
+    out = blocks.withColumn("text", cut).where("text <> ''")
+    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    return out.withColumns({"end_line": (F.col("start_line") + breaks).cast("int"), "end_byte": F.col("start_byte") + F.octet_length("text")})
 
 
 def budget(blocks: DataFrame, max_tokens: int | None, max_bytes: int | None, max_blocks: int, reserved: int = 0, count: Callable[[str], int] = len, request: str | None = None) -> DataFrame:
@@ -117,7 +121,11 @@ def budget(blocks: DataFrame, max_tokens: int | None, max_bytes: int | None, max
         kinds = {"string": object, "int": "Int32", "long": "Int64", "double": "float64"}
         return out.astype({c: kinds[k] for c, k in (x.split() for x in schema.split(", "))})
 
-    rows = first_of_each(blocks).select((F.col(request).cast("string") if request else F.lit("")).alias("request"), "id", "path", "source", F.col("score").cast("double"), "start_line", "end_line", "start_byte", "end_byte", "text")
+    # an expanded block is never trimmed, so one that is larger than the whole budget goes before the shuffle to the fold
+    too_large = F.lit(False) if max_bytes is None else F.octet_length("text") > max_bytes
+    if room is not None and count is len:
+        too_large = too_large | (F.char_length("text") > room)
+    rows = first_of_each(blocks).where(~((F.col("source") == "expanded") & too_large)).select((F.col(request).cast("string") if request else F.lit("")).alias("request"), "id", "path", "source", F.col("score").cast("double"), "start_line", "end_line", "start_byte", "end_byte", "text")
     return rows.groupBy("request").applyInPandas(fold, schema)
 
 

@@ -32,15 +32,24 @@ def cochange_edges(edges: DataFrame, sizes: DataFrame) -> DataFrame:
     return pairs.groupBy("src", "dst").agg(F.count("*").alias("commit_count"), F.sum(1.0 / F.col("n_files")).alias("weight"))
 
 
+def of_seeds(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The whole of the commits that hold any of seeds(path): all that the seeds' co-change edges rest on, so no pair of other commits is made."""
+    commits = edges.join(_few(seeds.select("path").distinct()), "path", "left_semi").select("commit_id").distinct()
+    return edges.join(commits, "commit_id", "left_semi")
+
+
+def _few(seeds: DataFrame) -> DataFrame:
+    """seeds, to be broadcast if at most FEW_SEEDS (counted)."""
+    return F.broadcast(seeds) if seeds.limit(FEW_SEEDS + 1).count() <= FEW_SEEDS else seeds
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
 
 
 def neighbours(edges: DataFrame, seeds: DataFrame, limit: int) -> DataFrame:
     """(path, weight) of the files that change most with seeds(path); seeds may be among them. More than FEW_SEEDS are shuffled, not broadcast."""
-    few = seeds.limit(FEW_SEEDS + 1).count() <= FEW_SEEDS
-    ends = seeds.select(F.col("path").alias("src"))
-    near = both_ways(edges).join(F.broadcast(ends) if few else ends, "src")
+    near = both_ways(edges).join(_few(seeds.select(F.col("path").alias("src"))), "src")
     return near.groupBy(F.col("dst").alias("path")).agg(F.sum("weight").alias("weight")).orderBy(F.desc("weight"), "path").limit(limit)
 
 

@@ -23,9 +23,11 @@ def chunk_lines(files: DataFrame, size: int, overlap: float) -> DataFrame:
     lines = files.select("path", F.split("text", "\n", -1).alias("lines")).select("path", "lines", F.size("lines").alias("n"))
     # a window that holds nothing new after the one before it is left out
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.when(F.col("n") <= size, F.lit(0)).otherwise(F.ceil((F.col("n") - size) / step).cast("int") * step)), F.lit(step))
-    rows = lines.select("path", "lines", "n", F.posexplode(starts).alias("ordinal", "at"))
+    # window i begins i steps in, so the bytes before it are those of the i steps before it
+    steps = F.transform(starts, lambda at: (F.octet_length(F.array_join(F.slice("lines", at + 1, step), "\n")) + 1).cast("long"))
+    rows = lines.select("path", "lines", "n", steps.alias("steps"), F.posexplode(starts).alias("ordinal", "at"))
     text = F.array_join(F.slice("lines", F.col("at") + 1, size), "\n")
-    before = F.when(F.col("at") == 0, F.lit(0)).otherwise(F.octet_length(F.array_join(F.slice("lines", F.lit(1), F.col("at")), "\n")) + 1)
+    before = F.aggregate(F.slice("steps", F.lit(1), F.col("ordinal")), F.lit(0).cast("long"), lambda a, b: a + b)
     return rows.select("path", F.col("ordinal").cast("int"), (F.col("at") + 1).cast("int").alias("start_line"), F.least(F.col("at") + size, "n").cast("int").alias("end_line"), before.cast("long").alias("start_byte"), text.alias("text")).withColumn("end_byte", F.col("start_byte") + F.octet_length("text"))
 
 

@@ -7,23 +7,26 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
+from .checkpoints import pinned
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
 def _times(term: str) -> Column:
-    return F.size(F.filter("w", lambda t: t == F.lit(term)))
+    return F.size(F.filter("asked", lambda t: t == F.lit(term)))
 
 
 def bm25(docs: DataFrame, terms: list[str]) -> DataFrame:
     """(id, bm25) of docs(id, text) that hold any of the terms; greater is better.
 
-    One pass counts the few terms in every document and the totals; nothing but the matching
-    documents' counts is shuffled.
+    One pass counts the few terms in every document; its counts, a few numbers a document, are
+    written down, so the texts are read once for the totals and for the scores.
     """
     terms = list(dict.fromkeys(terms))
     words = docs.select("id", T.tokens(F.col("text")).alias("w"))
-    counted = words.select("id", F.size("w").alias("len"), *[_times(x).alias(f"t{i}") for i, x in enumerate(terms)])
+    # the words asked for are picked in one pass over a document's words and told apart among those few
+    words = words.select("id", F.size("w").alias("len"), F.filter("w", lambda t: t.isin(terms)).alias("asked"))
+    counted = pinned(words.select("id", "len", *[_times(x).alias(f"t{i}") for i, x in enumerate(terms)]))
     totals = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.count(F.when(F.col(f"t{i}") > 0, 1)).alias(f"d{i}") for i in range(len(terms))])
     hits = counted.where(" or ".join(f"t{i} > 0" for i in range(len(terms))) or "false").crossJoin(F.broadcast(totals))  # totals is one row
     score: Column = F.lit(0.0)

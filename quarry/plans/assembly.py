@@ -10,7 +10,7 @@ from ..operators import history as H
 from ..operators import render as R
 from ..operators import topology as T
 from ..sources.catalog import Roles
-from .history import _sizes
+from .history import _cochange_of
 from .registry import CHUNKS, COCHANGE, COMMITS, DEPS, FILES, pagerank_sql, query
 
 _HITS = "hits AS (SELECT id, CAST(CAST(substr(path, 2) AS BIGINT) % 10 AS DOUBLE) / 10 AS score FROM chunks WHERE ordinal % 2 = 1)"
@@ -97,7 +97,7 @@ def render_blocks(spark, sf_dir):
 @query(f"WITH {COCHANGE}, two AS (SELECT src, dst, weight FROM pairs UNION ALL SELECT dst, src, weight FROM pairs), near AS (SELECT dst AS path, SUM(weight) AS w FROM two WHERE src IN ('f1', 'f2', 'f3', 'f4', 'f5') GROUP BY dst ORDER BY round(SUM(weight), 9) DESC, path LIMIT 40) SELECT path FROM near WHERE starts_with(path, 'f1') AND NOT starts_with(path, 'f19')")
 def expand_cochange(spark, sf_dir):
     seeds = spark.range(1, 6).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("path"))
-    edges = H.cochange_edges(*_sizes(Roles(spark, sf_dir))).join(F.broadcast(seeds), (F.col("src") == F.col("path")) | (F.col("dst") == F.col("path")), "left_semi")
+    edges = _cochange_of(spark, sf_dir, seeds)
     near = H.both_ways(edges).join(F.broadcast(seeds), F.col("src") == F.col("path"), "left_semi").groupBy(F.col("dst").alias("path")).agg(F.round(F.sum("weight"), 9).alias("w"))
     # the limit comes first, then the filter
     return near.orderBy(F.desc("w"), "path").limit(40).where(P.allowed(F.col("path"), ["f1"], ["f19"])).select("path")

@@ -46,6 +46,12 @@ def _cochange(spark, sf_dir):
     return H.cochange_edges(*_sizes(Roles(spark, sf_dir)))
 
 
+def _cochange_of(spark, sf_dir, seeds):
+    """The co-change edges with an end among the seeds; the weights of others are partial."""
+    edges = H.of_seeds(Roles(spark, sf_dir).commits(), seeds)
+    return H.cochange_edges(edges, H.small_commits(edges, 0, 1.0))
+
+
 @query(f"WITH {COCHANGE} SELECT src, dst, commit_count, round(weight, 6) AS weight FROM pairs")
 def cochange_edges(spark, sf_dir):
     return _cochange(spark, sf_dir).withColumn("weight", F.round("weight", 6))
@@ -57,7 +63,7 @@ _BOTH = "two AS (SELECT src, dst, weight FROM pairs UNION ALL SELECT dst, src, w
 @query(f"WITH {COCHANGE}, {_BOTH} SELECT dst AS path, round(SUM(weight), 6) AS weight FROM two WHERE src IN ('f1', 'f2', 'f3', 'f4', 'f5') GROUP BY dst ORDER BY round(SUM(weight), 9) DESC, path LIMIT 25")
 def cochange_neighbors(spark, sf_dir):
     seeds = spark.range(1, 6).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("path"))
-    edges = _cochange(spark, sf_dir)
+    edges = _cochange_of(spark, sf_dir, seeds)
     near = H.both_ways(edges).join(F.broadcast(seeds.select(F.col("path").alias("src"))), "src").groupBy(F.col("dst").alias("path")).agg(F.round(F.sum("weight"), 9).alias("weight"))
     return near.orderBy(F.desc("weight"), "path").limit(25).withColumn("weight", F.round("weight", 6))
 
@@ -65,7 +71,7 @@ def cochange_neighbors(spark, sf_dir):
 @query(f"WITH {COCHANGE}, {_BOTH} SELECT dst AS path, round(SUM(weight), 6) AS weight FROM two WHERE src = 'f7' GROUP BY dst ORDER BY round(SUM(weight), 9) DESC, path LIMIT 3")
 def cochange_partners(spark, sf_dir):
     seed = spark.range(1).select(F.lit("f7").alias("path"))
-    return H.neighbours(_cochange(spark, sf_dir).withColumn("weight", F.round("weight", 9)), seed, 3).withColumn("weight", F.round("weight", 6))
+    return H.neighbours(_cochange_of(spark, sf_dir, seed).withColumn("weight", F.round("weight", 9)), seed, 3).withColumn("weight", F.round("weight", 6))
 
 
 @query(f"WITH {COCHANGE} SELECT least(src, dst) AS a, greatest(src, dst) AS b, round(MAX(weight), 6) AS weight FROM pairs GROUP BY 1, 2")
