@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import vectors as V
+from ..operators import postings as O
 from ..operators import search as S
 from ..sources.catalog import Roles
 from .registry import FILES, query
@@ -42,6 +43,30 @@ def fts_topk_compat(spark, sf_dir):
     return _six(S.fts_topk(_docs(spark, sf_dir), TERMS, 20, compat=True), "fts_score")
 
 
+@query("SELECT doc_id AS id, term, COUNT(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents) GROUP BY 1, 2")
+def postings(spark, sf_dir):
+    return O.postings(_docs(spark, sf_dir))
+
+
+@query("SELECT doc_id AS id, CAST(COALESCE(len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')), 0) AS INTEGER) AS n_words FROM documents")
+def document_lengths(spark, sf_dir):
+    return O.lengths(_docs(spark, sf_dir))
+
+
+@query(f"WITH {_BM25} SELECT id, round(s / (1 + s), 6) AS fts_score FROM bm ORDER BY s DESC, id LIMIT 20")
+def fts_topk_postings(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return _six(O.fts_topk(O.postings(docs), O.lengths(docs), TERMS, 20), "fts_score")
+
+
+@query("SELECT doc_id AS id, term, COUNT(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(CASE WHEN lang = 'fr' THEN 'again ' || text ELSE text END), '[\\p{L}\\p{N}]+')) AS term FROM documents WHERE lang <> 'de') GROUP BY 1, 2")
+def postings_upkeep(spark, sf_dir):
+    docs = Roles(spark, sf_dir).read("documents").select(F.col("doc_id").alias("id"), "text", "lang")
+    found = docs.where("lang = 'fr'").select("id", F.concat(F.lit("again "), "text").alias("text"))
+    # a null language is neither gone nor kept in the SQL, so those rows go too
+    return O.upkept(O.postings(docs), docs.where("coalesce(lang, 'de') = 'de'"), O.postings(found))
+
+
 @query(f"WITH {_VEC} SELECT id, round(distance, 6) AS distance FROM vec ORDER BY vec.distance, id LIMIT 10")
 def vector_topk(spark, sf_dir):
     return _six(S.vector_topk(*_vectors(spark, sf_dir), 10), "distance")

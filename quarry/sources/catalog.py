@@ -18,6 +18,8 @@ SCHEMAS = {
     "symbols": "id string, file_path string, name string, kind string, start_byte long, end_byte long, language string",
     "symbol_references": "id string, file_path string, name string, start_byte long, end_byte long, language string",
     "reference_symbol_edges": "reference_id string, symbol_id string",
+    "postings": "term string, id string, tf long",
+    "chunk_lengths": "id string, n_words int",
 }
 
 
