@@ -7,6 +7,10 @@ import tomllib
 from dataclasses import asdict, dataclass, field, fields, is_dataclass
 
 
+#: What may be empty: a service without a URL is replaced by the offline stand-in (embeddings) or left out (reranking); keys come from the environment variable named.
+OPTIONAL = ("url", "model", "key_variable", "instruction")
+
+
 @dataclass
 class Embedding:
     dimension: int = 64
@@ -17,6 +21,24 @@ class Embedding:
     requests_per_minute: int = 1000
     max_concurrent_requests: int = 300
     tokens_per_minute: int = 1_000_000
+    url: str = ""
+    model: str = ""
+    key_variable: str = ""
+    timeout_seconds: int = 30
+
+
+@dataclass
+class Reranker:
+    url: str = ""
+    model: str = ""
+    key_variable: str = ""
+    instruction: str = ""
+    timeout_seconds: int = 10
+
+
+@dataclass
+class Prompt:
+    tokenizer: str = "characters"
 
 
 @dataclass
@@ -46,6 +68,8 @@ class Config:
     chunking: Chunking = field(default_factory=Chunking)
     history: History = field(default_factory=History)
     search: Search = field(default_factory=Search)
+    reranker: Reranker = field(default_factory=Reranker)
+    prompt: Prompt = field(default_factory=Prompt)
 
     def problems(self) -> list[str]:
         """Counts must be positive, the overlap lie in [0, 1), scores, weights and ratios in [0, 1]."""
@@ -53,7 +77,7 @@ class Config:
         for section in fields(self):
             for name, value in asdict(getattr(self, section.name)).items():
                 at = f"{section.name}.{name}"
-                if isinstance(value, str) and not value.strip():
+                if isinstance(value, str) and not value.strip() and name not in OPTIONAL:
                     out.append(f"{at} must be set")
                 elif isinstance(value, int) and not isinstance(value, bool) and value <= 0:
                     out.append(f"{at} must be above 0")

@@ -80,8 +80,9 @@ def in_extensions(path: Column, extensions: list[str]) -> Column:
 
 
 def allowed(path: Column, scope: list[str], exclude: list[str], root: str = "") -> Column:
-    """In scope (if there is one) and not excluded, by the path as it is or below root."""
-    hits = lambda given: any_of([c.startswith(g) for g in given for c in (path, display(path, root))])
+    """In scope (if there is one) and not excluded, by the path as it is or below root. Blank entries match nothing; a slash at the end does not count."""
+    clean = lambda given: [g.strip().rstrip("/") for g in given if g.strip()]
+    hits = lambda given: any_of([c.startswith(g) for g in clean(given) for c in (path, display(path, root))])
     inside = hits(scope) if scope else F.lit(True)
     return inside & ~hits(exclude)
 

@@ -91,7 +91,7 @@ def hashed_embedder(dimension: int) -> Embedder:
     return embed
 
 
-def embedded(chunks: DataFrame, make: Callable[[], Embedder], partitions: int = 5, requests: float = REQUESTS_A_MINUTE, tokens_a_minute: float = TOKENS_A_MINUTE) -> DataFrame:
+def embedded(chunks: DataFrame, make: Callable[[], Embedder], partitions: int = 5, requests: float = REQUESTS_A_MINUTE, tokens_a_minute: float = TOKENS_A_MINUTE, items: int = BATCH_ITEMS, most: int = BATCH_TOKENS) -> DataFrame:
     """(id, embedding) of chunks(id, text). Each partition is a worker with its share of the rates; make builds its client there."""
     ship(chunks.sparkSession)
 
@@ -99,7 +99,7 @@ def embedded(chunks: DataFrame, make: Callable[[], Embedder], partitions: int =
         client, calls, size = make(), Bucket(requests / partitions), Bucket(tokens_a_minute / partitions)
         for f in frames:
             texts = f.text.fillna("").tolist()
-            for a, b in batches([len(t) for t in texts]):
+            for a, b in batches([len(t) for t in texts], items, most):
                 for bucket, n in ((calls, 1), (size, sum(map(len, texts[a:b])))):
                     while wait := bucket.wait_for(n):
                         time.sleep(wait)
@@ -130,3 +130,21 @@ def token_count(text: Column, kind: str = "characters", path: str | None = None)
             yield pd.Series([len(e.ids) for e in t.encode_batch(s.fillna("").tolist(), add_special_tokens=False)])
 
     return count(text)
+
+
+def counter(tokenizer: str) -> Callable[[str], int]:
+    """Tokens of one text: characters, hf:PATH (a file of the tokenizers library) or tiktoken:NAME (an encoding that library has at hand)."""
+    kind, _, name = tokenizer.partition(":")
+    if tokenizer == "characters":
+        return len
+    if kind == "hf" and name:
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(name)
+        return lambda t: len(own.encode(t, add_special_tokens=False).ids)
+    if kind == "tiktoken" and name:
+        import tiktoken
+
+        encoding = tiktoken.get_encoding(name)
+        return lambda t: len(encoding.encode_ordinary(t))
+    raise ValueError(f"no such tokenizer: {tokenizer}")

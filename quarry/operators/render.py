@@ -79,8 +79,8 @@ def repo_tree(rows: DataFrame, most: int = MOST_LINES) -> DataFrame:
     return rows.sparkSession.createDataFrame(list(enumerate(tree_lines(first, most), 1)), "line_no int, line string")
 
 
-def prompt(blocks: list[str], overview: dict, warnings: list[str], task: str, sections: set[str] | None = None) -> str:
-    """The assembled Markdown. overview has name, tech_stack and summary; no sections given: all."""
+def prompt(blocks: list[str], overview: dict, warnings: list[str], task: str, sections: set[str] | None = None, expanded: list[str] = []) -> str:
+    """The assembled Markdown: blocks asked for or found, then those from around them. overview has name, tech_stack and summary; no sections given: all."""
     on = lambda s: not sections or s in sections
     out: list[str] = []
     if on("summary") or on("structure"):
@@ -92,7 +92,9 @@ def prompt(blocks: list[str], overview: dict, warnings: list[str], task: str, se
     if warnings:
         out += ["\n## Warnings\n<WARNINGS>", *(f"- {w}" for w in warnings), "</WARNINGS>"]
     if on("context"):
-        out += [f"\n## Retrieved Context ({len(blocks)} blocks)", *blocks]
+        out.append(f"\n## Retrieved Context ({len(blocks) + len(expanded)} blocks)")
+        for label, group in (("Primary Results", blocks), ("Expanded Context", expanded)):
+            out += [f"\n### {label}", *[f"\n{b}" for b in group]]
     if on("query"):
         out.append(f"\n## User Query\n<USER_QUERY>\n{task}\n</USER_QUERY>")
     return "\n".join(out) + "\n"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
@@ -20,14 +20,15 @@ def around(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return rows.groupBy("path").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("weight"), F.min("distance").alias("distance"))
 
 
-def select_files(edges: DataFrame, seeds: DataFrame, depth: int, limit: int) -> DataFrame:
-    """(path, weight, distance): all seeds, then neighbours (nearer, heavier, by name) up to limit files."""
+def select_files(edges: DataFrame, seeds: DataFrame, depth: int, limit: int, keep: Column | None = None) -> DataFrame:
+    """(path, weight, distance): all seeds, then neighbours (nearer, heavier, by name) that keep lets through, up to limit files."""
     seeds = pinned(seeds.select("path").distinct())
     n = seeds.count()
     chosen = seeds.select("path", F.lit(1.0).alias("weight"), F.lit(0).alias("distance"))
-    if n >= limit:
+    if n >= limit or depth <= 0:
         return chosen
-    return chosen.unionByName(around(edges, seeds, depth).orderBy("distance", F.desc("weight"), "path").limit(limit - n))
+    near = around(edges, seeds, depth)
+    return chosen.unionByName((near if keep is None else near.where(keep)).orderBy("distance", F.desc("weight"), "path").limit(limit - n))
 
 
 def blocks(chunks: DataFrame, selected: DataFrame, sources: DataFrame, per_file: int) -> DataFrame:

@@ -44,6 +44,17 @@ class Catalog:
                 return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
             return self.spark.createDataFrame([], schema)
 
+    def has(self, name: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path) or self._recovered(name)
+
+    def note(self, key: str, value: str) -> None:
+        self.replace("meta", self.table("meta").where(F.col("key") != key).unionByName(self.spark.createDataFrame([(key, value)], SCHEMAS["meta"])))
+
+    def noted(self, key: str, default: str) -> str:
+        row = self.table("meta").where(F.col("key") == key).select("value").first()
+        return default if row is None else row["value"]
+
     def _recovered(self, name: str) -> bool:
         """Finishes a swap that broke off between its renames: the new state if it was written whole, else the old one."""
         hadoop = self.spark._jvm.org.apache.hadoop.fs
