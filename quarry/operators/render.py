@@ -70,13 +70,27 @@ def _listed(folder: _Folder) -> list[tuple[bool, str, object]]:
     return [(i + 1 == len(both), name, what) for i, (name, what) in enumerate(both)]
 
 
-def repo_tree(rows: DataFrame, most: int = MOST_LINES) -> DataFrame:
-    """(line_no, line) of the tree. The first `most` paths in order give at least as many lines, so no more are read."""
-    depth_first = rows.orderBy("path")
-    # folders come before files, so the paths that matter are the first by folder order; a line needs at most one path
-    key = F.transform(F.split("path", "/"), lambda p, i: F.concat(F.when(i < F.size(F.split("path", "/")) - 1, F.lit("0")).otherwise(F.lit("1")), p))
-    first = depth_first.orderBy(key).limit(most + 1).collect()
-    return rows.sparkSession.createDataFrame(list(enumerate(tree_lines(first, most), 1)), "line_no int, line string")
+def repo_tree(rows: DataFrame, most: int = MOST_LINES, deepest: int = MOST_DEPTH) -> DataFrame:
+    """(line_no, line) of the tree of summary rows.
+
+    Files below the deepest folders shown are one entry, so each path read gives a line at least and
+    the first `most` and one more suffice; beside them the last path of each folder on the way to the
+    last one read, for whether a later sibling follows.
+    """
+    parts = F.filter(F.split("path", "/"), lambda p: p != "")
+    shown = F.when(F.size(parts) > deepest + 1, F.concat(F.array_join(F.slice(parts, 1, deepest + 1), "/"), F.lit("/_"))).otherwise(F.col("path"))
+    # folders come before files
+    key = F.transform(parts, lambda p, i: F.concat(F.when(i < F.size(parts) - 1, F.lit("0")).otherwise(F.lit("1")), p))
+    rows = rows.where("path is not null").withColumn("path", shown).dropDuplicates(["path"]).withColumn("_key", key)
+    first = rows.orderBy("_key").limit(most + 1).collect()
+    out = [r.asDict() for r in first]
+    if len(first) > most:
+        last = first[-1]["_key"]
+        begins = lambda d: F.slice("_key", 1, d) == F.array(*[F.lit(x) for x in last[:d]]) if d else F.lit(True)
+        ends = rows.agg(*[F.max(F.when(begins(d), F.struct("_key", "path"))).alias(f"e{d}") for d in range(len(last))]).first()
+        later = {e["path"] for e in ends if e["_key"] > last}
+        out += [{"path": p, "rank": None, "badges": "", "partners": ""} for p in sorted(later)]
+    return rows.sparkSession.createDataFrame(list(enumerate(tree_lines(out, most, deepest), 1)), "line_no int, line string")
 
 
 def prompt(blocks: list[str], overview: dict, warnings: list[str], task: str, sections: set[str] | None = None, expanded: list[str] = []) -> str:

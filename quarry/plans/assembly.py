@@ -103,7 +103,21 @@ def expand_cochange(spark, sf_dir):
     return near.orderBy(F.desc("w"), "path").limit(40).where(P.allowed(F.col("path"), ["f1"], ["f19"])).select("path")
 
 
-@query()
+_HEAD = "(SELECT CASE WHEN n IS NULL OR array_to_string(ls[1:n], chr(10)) = '' THEN NULL ELSE array_to_string(ls[1:n], chr(10)) END FROM (SELECT list_max(list_filter(range(1, len(ls) + 1), lambda k: {size}(array_to_string(ls[1:k], chr(10))) <= {most})) AS n, ls FROM (SELECT string_split({text}, chr(10)) AS ls)))"
+_WARN = "CASE WHEN t2 IS NULL AND source IN ('explicit', 'pinned') THEN source || ' dropped due to ' || CASE WHEN t1 IS NULL THEN 'token' ELSE 'byte' END || ' budget: ' || path END"
+
+
+def _fits(before: str, size: str, room: int, used: str) -> str:
+    head = _HEAD.format(size=size, most=f"{room} - {used}", text=before)
+    return f"CASE WHEN {used} + {size}({before}) <= {room} THEN {before} WHEN source = 'expanded' THEN NULL ELSE {head} END"
+
+
+@query(f"""WITH RECURSIVE {_FIRST}, o AS (SELECT row_number() OVER (ORDER BY r, score DESC, path, start_byte) AS n, id, path, source, score, start_line, end_line, start_byte, replace(text, '. ', '.' || chr(10)) AS t FROM firsts),
+f AS (SELECT CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS tokens, CAST(0 AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS took, CAST(0 AS BIGINT) AS place, CAST(NULL AS VARCHAR) AS text, CAST(NULL AS VARCHAR) AS warning UNION ALL
+SELECT n, tokens + COALESCE(length(t2), 0), bytes + COALESCE(strlen(t2), 0), took + CASE WHEN t2 IS NULL THEN 0 ELSE 1 END, place + CASE WHEN t2 IS NULL AND {_WARN} IS NULL THEN 0 ELSE 1 END, t2, {_WARN} FROM
+(SELECT *, {_fits("t1", "strlen", 9000, "bytes")} AS t2 FROM (SELECT o.n, o.path, o.source, f.tokens, f.bytes, f.took, f.place, {_fits("o.t", "length", 5500, "f.tokens")} AS t1 FROM f JOIN o ON o.n = f.n + 1 WHERE f.took < 40)))
+SELECT CAST(place AS INTEGER) AS place, CASE WHEN f.text IS NOT NULL THEN id END AS id, CASE WHEN f.text IS NOT NULL THEN path END AS path, CASE WHEN f.text IS NOT NULL THEN source END AS source, CASE WHEN f.text IS NOT NULL THEN round(score, 6) END AS score,
+CASE WHEN f.text = t THEN end_line WHEN f.text IS NOT NULL THEN CAST(start_line + len(string_split(f.text, chr(10))) - 1 AS INTEGER) END AS end_line, CASE WHEN f.text IS NOT NULL THEN CAST(start_byte + strlen(f.text) AS BIGINT) END AS end_byte, warning FROM f JOIN o USING (n) WHERE f.text IS NOT NULL OR warning IS NOT NULL""")
 def budget_blocks(spark, sf_dir):
     blocks = _tiers(spark, sf_dir).withColumn("text", F.regexp_replace("text", r"\. ", ".\n"))
     return A.budget(blocks, 6000, 9000, 40, reserved=500).select("place", "id", "path", "source", F.round("score", 6).alias("score"), "end_line", "end_byte", "warning")
@@ -137,7 +151,13 @@ def repo_summary(spark, sf_dir):
     return _summary(spark, sf_dir).withColumn("rank", F.round("rank", 6))
 
 
-@query()
+_TICK = "CASE WHEN {0} THEN '└── ' ELSE '├── ' END"
+_BAR = "CASE WHEN {0} THEN '    ' ELSE '│   ' END"
+
+
+@query(f"""WITH {FILES}, p AS (SELECT string_split(path, '/') AS k FROM files), f AS (SELECT DISTINCT k[1] AS a, k[2] AS b, k[3] AS c FROM p), t AS (SELECT *, a = MAX(a) OVER () AS la, b = MAX(b) OVER (PARTITION BY a) AS lb, c = MAX(c) OVER (PARTITION BY a, b) AS lc FROM f),
+lines AS (SELECT DISTINCT a, '' AS b, '' AS c, {_TICK.format("la")} || a || '/' AS line FROM t UNION ALL SELECT DISTINCT a, b, '', {_BAR.format("la")} || {_TICK.format("lb")} || b || '/' FROM t UNION ALL SELECT a, b, c, {_BAR.format("la")} || {_BAR.format("lb")} || {_TICK.format("lc")} || c FROM t)
+SELECT CAST(row_number() OVER (ORDER BY a, b, c) AS INTEGER) AS line_no, line FROM lines ORDER BY line_no LIMIT 400""")
 def repo_tree_lines(spark, sf_dir):
     files = Roles(spark, sf_dir).files().select("path", F.lit(None).cast("double").alias("rank"), F.lit("").alias("badges"), F.lit("").alias("partners"))
     return R.repo_tree(files)

@@ -69,7 +69,14 @@ def cycle_edge_scores(spark, sf_dir):
     return _six(_scores(spark, sf_dir), "cochange", "persistence", "cut_score")
 
 
-@query()
+# after k cuts a component is open if a node still reaches itself; the cuts are its best edges as long as it is open
+@query(f"""WITH RECURSIVE {SCORES}, c AS (SELECT *, 1 - persistence AS cut_score, row_number() OVER (PARTITION BY scc ORDER BY round(1 - persistence, 12) DESC, weight, src, dst) AS place FROM scores),
+walk(k, scc, s, d) AS (SELECT k, scc, src, dst FROM c, (SELECT unnest(range(0, 4)) AS k) WHERE place > k UNION SELECT w.k, w.scc, w.s, c.dst FROM walk w JOIN c ON c.scc = w.scc AND c.src = w.d AND c.place > w.k), still AS (SELECT DISTINCT scc, k FROM walk WHERE s = d),
+able AS (SELECT scc, least(3, COUNT(*) FILTER (WHERE cut_score >= 0.2)) AS able FROM c GROUP BY scc), parts AS (SELECT c.scc, place, src, dst, weight, persistence, cut_score, CAST(NULL AS VARCHAR) AS warning FROM c JOIN still o ON o.scc = c.scc AND o.k = place - 1 WHERE place <= 3 AND cut_score >= 0.2
+UNION ALL SELECT a.scc, able + 1, NULL, NULL, NULL, NULL, NULL, CASE WHEN able = 3 THEN 'cycle ' || a.scc || ' still has cycles after 3 cuts' ELSE 'cycle ' || a.scc || ' has no edges above min_cut_score 0.20' END FROM able a JOIN still o ON o.scc = a.scc AND o.k = able),
+per AS (SELECT scc, COALESCE(SUM(COUNT(src)) OVER (ORDER BY scc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM parts GROUP BY scc)
+SELECT scc, CAST(place AS INTEGER) AS place, src, dst, weight, round(persistence, 6) AS persistence, round(cut_score, 6) AS cut_score, warning FROM parts JOIN per USING (scc) WHERE before < 20 AND (src IS NULL OR before + place <= 20)
+UNION ALL SELECT NULL, 21, NULL, NULL, NULL, NULL, NULL, 'cut limit reached before all cycles were handled' WHERE EXISTS (SELECT 1 FROM per WHERE before >= 20)""")
 def refactor_plan(spark, sf_dir):
     return _six(G.refactor_plan(_scores(spark, sf_dir)), "persistence", "cut_score")
 
