@@ -211,3 +211,13 @@ def test_scopes(spark):
     row = spark.createDataFrame([("src2/x",)], "p string")
     ask = lambda scope, out: row.select(paths.allowed(F.col("p"), scope, out).alias("x")).first()["x"]
     assert ask(["src2/"], []) and ask(["src"], [" "]) and not ask([" "], []) and not ask([], ["src2/"])
+
+
+def test_cut_tree_is_the_head_of_the_whole_tree(spark):
+    from quarry.operators import render
+
+    names = [f"{'/'.join(f'd{(i * k) % 4}' for k in range(1, 1 + i % 8))}/f{i}".lstrip("/") for i in range(90)] + ["top"]
+    rows = spark.createDataFrame([(n, None, "", "") for n in names] + [(None, None, "", "")], "path string, rank double, badges string, partners string")
+    whole = render.tree_lines([{"path": n, "rank": None, "badges": "", "partners": ""} for n in names], most=10_000)
+    for most in (1, 2, 7, 20, 33, 60, 400):
+        assert [r["line"] for r in render.repo_tree(rows, most).orderBy("line_no").collect()] == whole[:most]
